@@ -15,15 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names.
 
     Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a folder chosen here.
     """
-    jsc = df.sparkSession.sparkContext._jsc.sc()
+    jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        df.sparkSession.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="groupwise-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groupwise-"))
+    return jsc.getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding, tokenfile
 from .common import table
 
+try:
+    import public_tokenizers
+except ImportError:  # the files may be anywhere: the operators take a path
+    BPE_PATH = "/opt/tokenizers/byte_bpe_50k.json"
+else:
+    BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
+
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
 
@@ -19,10 +26,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), BPE_PATH)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenfile.shared_path(spark, "token-ids")
+    tokenfile.write(table(spark, sf_dir, "documents"), out, BPE_PATH)
+    return tokenfile.digests(spark, out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
