@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +44,24 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id written as text, modulo ``k`` (null ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
+
+
+def summed(partials: DataFrame, key: str, value: str, width: int = 16) -> dict:
+    """{key: sum of its float64 arrays}: ``partials`` has (key, value binary), a few rows for each task.
+
+    Arrays are added in two rounds, each task holding one sum per key, so the driver gets one
+    array for each key however many tasks there were.
+    """
+
+    def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in rows:
+            for k, v in zip(pdf[key], pdf[value]):
+                a = np.frombuffer(v)
+                sums[k] = sums[k] + a if k in sums else a
+        if sums:
+            yield pd.DataFrame({key: list(sums), value: [a.tobytes() for a in sums.values()]})
+
+    salted = partials.withColumn("salt", F.spark_partition_id() % width)
+    some = salted.repartition(width, key, "salt").select(key, value).mapInPandas(add, partials.schema)
+    return {r[key]: np.frombuffer(r[value]) for r in some.repartition(width, key).mapInPandas(add, partials.schema).collect()}

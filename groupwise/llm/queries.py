@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, tokenfile
-from .common import table
+from . import bpe, language, mixing, quality, sharding, tokenfile
+from .common import checkpoint, crc_mod, table
 
 try:
     import public_tokenizers
@@ -26,6 +26,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = checkpoint(quality.text_statistics(table(spark, sf_dir, "documents")))
+    model = quality.fit(quality.training_rows(stats, table(spark, sf_dir, "labels")))
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    scored = stats.select("doc_id", held_out.alias("held_out"), quality.scorer(model)("stats").alias("score"))
+    return scored.withColumn("predicted", quality.passing(F.col("score")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BPE_PATH)
 
@@ -40,6 +48,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, out)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
