@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,3 +66,10 @@ def summed(partials: DataFrame, key: str, value: str, width: int = 16) -> dict:
     salted = partials.withColumn("salt", F.spark_partition_id() % width)
     some = salted.repartition(width, key, "salt").select(key, value).mapInPandas(add, partials.schema)
     return {r[key]: np.frombuffer(r[value]) for r in some.repartition(width, key).mapInPandas(add, partials.schema).collect()}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: compact, with known size, and without lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
