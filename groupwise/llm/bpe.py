@@ -44,7 +44,17 @@ MARKS = frozenset(",.;:!?")
 #: Texts encoded together; bounds the words held at a time.
 TEXTS = 256
 NEVER = 1 << 30
-_TOUCHING = re.compile(r" \s|\s ")
+#: White space of the pattern other than the space itself.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c != " " and regex.match(r"\s", c)]
+
+
+def _loose(part: str) -> bool:
+    """Whether a space stands at an end or beside other white space, so that cutting at spaces isn't safe."""
+    if part[0] == " " or part[-1] == " " or "  " in part:
+        return True
+    return any(f" {c}" in part or f"{c} " in part for c in _OTHER_SPACE if c in part)
+
+
 
 
 def byte_chars() -> dict[str, int]:
@@ -334,7 +344,7 @@ class Codec:
                 plan: list[int | tuple[list[str], bool]] = []
                 for part in self._parts(text or ""):
                     if isinstance(part, str):
-                        loose = bool(_TOUCHING.search(part)) or part.endswith(" ") or part.startswith(" ")
+                        loose = _loose(part)
                         chunks = self.v.pattern.findall(part) if loose else part.split(" ")
                         plain.update(chunks if loose else chunks[:1])
                         if not loose:

@@ -126,9 +126,8 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:
     ordered.select("doc_id", "text").mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(out)
 
 
-def read(spark: SparkSession, source: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files in ``source``; ids as little-endian u32."""
-    segments = spark.read.parquet(source)
+def _documents(segments: DataFrame) -> DataFrame:
+    """(part, doc_id, local, n_tokens, ids) of every document; ``local`` counts from the start of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,15 +138,27 @@ def read(spark: SparkSession, source: str) -> DataFrame:
                 blobs = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(ends), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "local": pa.array(starts + row["base"], pa.int64()), "n_tokens": pa.array(row["sizes"], pa.int64()), "ids": pa.array(blobs, pa.binary())})
 
-    docs = segments.mapInArrow(run, "part int, doc_id long, local long, n_tokens long, ids binary")
+    return segments.mapInArrow(run, "part int, doc_id long, local long, n_tokens long, ids binary")
+
+
+def _started(docs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``docs`` with ``start``, the ids of all documents before, in place of ``local`` and ``part``."""
     before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
     offsets = segments.groupBy(F.col("part").alias("of")).agg(F.sum("n_ids").alias("ids_here")).select("of", F.coalesce(F.sum("ids_here").over(before), F.lit(0)).alias("offset"))
-    return docs.join(offsets, docs["part"] == offsets["of"]).select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return docs.join(offsets, docs["part"] == offsets["of"]).withColumn("start", F.col("offset") + F.col("local")).drop("of", "offset", "local", "part")
+
+
+def read(spark: SparkSession, source: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, start) of every document in the files in ``source``; ids as little-endian u32."""
+    segments = spark.read.parquet(source)
+    return _started(_documents(segments), segments)
 
 
 def digests(spark: SparkSession, source: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files in ``source``."""
-    return read(spark, source).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """(doc_id, start, n_tokens, ids_crc32) from the files in ``source``; digests move between tasks, ids don't."""
+    segments = spark.read.parquet(source)
+    hashed = _documents(segments).select("part", "doc_id", "local", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return _started(hashed, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
