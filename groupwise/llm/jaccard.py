@@ -111,10 +111,10 @@ def _sets(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
         if b - a >= words:
             yield np.unique(gram[a : b - words + 1])
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.array([b - a], np.uint64)
             for w in word[a:b]:
                 short = short * _ODD + w
-            yield mix(np.array([short ^ _BASE]))
+            yield mix(short ^ _BASE)
         else:
             yield np.empty(0, np.uint64)
 
