@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import driver
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(driver.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(driver.SQL)
