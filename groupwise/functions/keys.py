@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the tag that keeps value hashes apart from identities.
 CONTENT_DOMAIN = "\x1fCONTENT2"
 #: White space that ids and readers trim (Spark's trim takes spaces only).
-SPACE = r"[\s\u0085   -     　]"
+SPACE = r"[\s\x0B\u0085   -     　]"
 
 
 def trimmed(c: Column) -> Column:

@@ -108,16 +108,12 @@ def parse(c: Column, code: str | None, unit: str = "", xn_numeric: bool = False)
 def _number_text(column: pd.Series) -> pd.Series:
     """Shortest text of doubles, always with a point or an exponent, as JSON writers give it."""
 
-    def one(x: float | None) -> str | None:
-        if x is None or math.isnan(x):
-            return None
+    def one(x: float) -> str:
         digits = repr(x)
-        if "e" in digits:
-            head, tail = digits.split("e")
-            if "." not in head and not 16 <= int(tail) or int(tail) in range(-5, 16):
-                head = head
-            return f"{head}e{int(tail)}" if int(tail) < 0 else f"{head}e+{int(tail)}"
-        return digits
+        if "e" not in digits:
+            return digits
+        head, tail = digits.split("e")
+        return f"{head}e{int(tail)}" if int(tail) < 0 else f"{head}e+{int(tail)}"
 
     return column.map(one, na_action="ignore")
 
@@ -132,10 +128,18 @@ def canonical_text(c: Column, code: str | None) -> Column:
         at = parse_datetime(c)
         whole = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
         micros = F.date_format(at, "SSSSSS")
-        return F.concat(whole, F.when(micros == "000000", "").when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3))).otherwise(F.concat(F.lit("."), micros)))
+        return _json_text(F.concat(whole, F.when(micros == "000000", "").when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3))).otherwise(F.concat(F.lit("."), micros))))
+    if kind == "string":
+        return _json_text(value)
     return value.cast("string")
 
 
+def _json_text(c: Column) -> Column:
+    """A string as JSON."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
 def format_ndp(x: float, n: int) -> str:
     """n decimals, half to even on the exact value."""
     return f"{x:.{min(n, MOST_DIGITS)}f}"
