@@ -12,7 +12,7 @@ def _jump(hook: DataFrame) -> DataFrame:
     """Follow x -> y until no y is itself an x."""
     while True:
         on = hook.select(F.col("x").alias("y"), F.col("y").alias("beyond"))
-        hook = checkpoint(hook.join(on, "y", "left").select("x", F.coalesce("beyond", "y").alias("y"), F.col("beyond").isNotNull().alias("moved")))
+        hook = checkpoint(hook.join(on.hint("merge"), "y", "left").select("x", F.coalesce("beyond", "y").alias("y"), F.col("beyond").isNotNull().alias("moved")))
         if hook.where("moved").isEmpty():
             return hook.select("x", "y")
         hook = hook.select("x", "y")
@@ -23,23 +23,39 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every id with a smaller neighbour onto its smallest, contracts, and
     keeps the links between different contracted ids; rounds grow with the logarithm of a
-    component's size. Neighbours are combined before they are shuffled, so a hub is no hot key.
+    component's size. Neighbours are combined before they are shuffled, so a hub is no hot
+    key. Joins are sort-merge by hint: a broadcast side would stay in the driver's memory
+    for each of the many small jobs.
     """
-    found: DataFrame | None = None
+    return extended(None, links)
+
+
+def relabelled(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links between the components of their ends, distinct, without those inside one."""
+    for end in ("a", "b"):
+        to = label.select(F.col("id").alias(end), F.col("component").alias("to"))
+        links = links.join(to.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return links.where("a <> b").distinct()
+
+
+def extended(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after more links; None for none so far."""
     links = links.select("a", "b").where("a <> b")
-    while True:
-        hook = checkpoint(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y")))
-        hook = _jump(hook)
-        if found is None:
-            found = hook.select(F.col("x").alias("id"), F.col("y").alias("component"))
+    if label is not None:
+        links = relabelled(links, label)
+    links = checkpoint(links)
+    while not links.isEmpty():
+        hook = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
+        hook = _jump(checkpoint(hook))
+        fresh = hook.select(F.col("x").alias("id"), F.col("y").alias("component"))
+        links = checkpoint(relabelled(links, fresh))
+        if label is None:
+            label = fresh
         else:
             at = hook.select(F.col("x").alias("component"), F.col("y").alias("next"))
-            found = found.join(at, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-            fresh = hook.select(F.col("x").alias("id"), F.col("y").alias("component"))
-            found = checkpoint(found.unionByName(fresh.join(found.select("id"), "id", "left_anti")))
-        for end in ("a", "b"):
-            to = hook.select(F.col("x").alias(end), F.col("y").alias("to"))
-            links = links.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = checkpoint(links.where("a <> b").distinct())
-        if links.isEmpty():
-            return found
+            moved = label.join(at.hint("merge"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+            # an id that is hooked now was the least of its component, so no label had it
+            label = checkpoint(moved.unionByName(fresh))
+    if label is None:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return label

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, stored
-from .components import components
+from .components import extended
 
 #: Bytes of text that are hashed together.
 BATCH = 1 << 20
@@ -52,7 +52,7 @@ RECURS = 3
 HOT = 24
 #: Shingles left out at most, the most frequent ones.
 MOST_HOT = 1_000_000
-ROUNDS = 3
+ROUNDS = 2
 LEADERS = 3
 GROWTH = 1.5
 
@@ -272,11 +272,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     left, right = (sets.select(F.col("sid").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
     common = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every document, and links (a, b) between sets that give the components of all links."""
+    """(doc_id, n, sid) of every document, and (id, component) of sets that link with a lesser one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = checkpoint(_summary(docs, words))
     of = summary.where("hot is null").select("doc_id", "n", "sid")
@@ -285,19 +285,19 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     rows = _buckets(docs, words, sketches)
     least, most = F.min("sid").over(bucket), F.max("sid").over(bucket)
     shared = stored(rows.withColumn("least", least).withColumn("most", most).where("least <> most").select("key", "sid", "n").distinct(), "buckets")
-    wanted = shared.select("sid").distinct().join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
+    wanted = shared.select("sid").distinct().hint("merge").join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
     sets = stored(_sets_of(docs, wanted, words), "sets")
 
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
+    label: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        if found is None:
+        if label is None:
             rows = shared.withColumn("component", F.col("sid"))
         else:
-            label = components(found)
-            rows = shared.join(label, shared["sid"] == label["id"], "left").withColumn("component", F.coalesce("component", "sid")).drop("id")
+            rows = shared.join(label.hint("merge"), shared["sid"] == label["id"], "left").withColumn("component", F.coalesce("component", "sid")).drop("id")
             mixed = F.min("component").over(bucket) != F.max("component").over(bucket)
             rows = checkpoint(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
+            if rows.isEmpty():
+                break
             shared = rows.select("key", "sid", "n")
         if turn < ROUNDS:
             me = F.struct(F.xxhash64(F.lit(turn), "sid").alias("order"), "sid", "n", "component")
@@ -311,14 +311,9 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
             pairs = pairs.select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
         else:
             left, right = (rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = _near(left.join(right, "key").where("a > b and ca <> cb"), percent).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        new = _verified(pairs, sets, percent)
-        found = checkpoint(new if found is None else found.unionByName(new))
-        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
-    return of, found
+            pairs = _near(left.join(right.hint("merge"), "key").where("a > b and ca <> cb"), percent).select("a", "b").distinct()
+        label = extended(label, checkpoint(_verified(pairs, sets, percent)))
+    return of, label
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -328,9 +323,8 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
-    of, found = links(docs, words, percent)
-    label = components(found)
-    named = of.join(label, of["sid"] == label["id"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
+    of, label = links(docs, words, percent)
+    named = of.join(label.hint("merge"), of["sid"] == label["id"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
     full = named.where("n > 0")
     least = full.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
     grouped = full.join(least, full["component"] == least["of"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
