@@ -23,15 +23,19 @@ from .dictionary import Dictionary
 ROWS = "file string, rec int, line int, terminator string, byte_offset long, text string, tag string, `group` string, section int, data_row int, values array<string>"
 
 
-def _rows_of(file: str, raw: bytes, encoding: str, errors: str) -> pd.DataFrame:
+def _tuples(file: str, raw: bytes, encoding: str, errors: str) -> list[tuple]:
     text, bom = lexer.decode(raw, encoding, errors)
     out, at, done = [], 3 if bom else 0, 0
     for r in lexer.rows(text):
         at += len(text[done : r.record.offset].encode(encoding, "replace"))
         done = r.record.offset
         out.append((file, r.record.rec, r.record.line, r.record.terminator, at, r.record.text, r.tag, r.group, r.section, r.data_row, r.values))
+    return out
+
+
+def _rows_of(file: str, raw: bytes, encoding: str, errors: str) -> pd.DataFrame:
     names = [c.strip(" `").split(" ")[0].strip("`") for c in ROWS.split(",")]
-    return pd.DataFrame(out, columns=names).astype({"data_row": "Int32"})
+    return pd.DataFrame(_tuples(file, raw, encoding, errors), columns=names).astype({"data_row": "Int32"})
 
 
 def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", errors: str = "strict", glob: str | None = None) -> DataFrame:
@@ -49,7 +53,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8"
 
 
 def scan_text(spark: SparkSession, text: str, file: str = "inline") -> DataFrame:
-    return spark.createDataFrame(_rows_of(file, text.encode(), "utf-8", "strict"), ROWS)
+    return spark.createDataFrame(_tuples(file, text.encode(), "utf-8", "strict"), ROWS)
 
 
 @dataclass
