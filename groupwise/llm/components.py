@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def _jump(hook: DataFrame) -> DataFrame:
-    """Follow x -> y until no y is itself an x."""
-    while True:
+#: Steps of pointer jumping in one plan; they cover chains of 2 ** JUMPS ids.
+JUMPS = 3
+
+
+def _jumped(hook: DataFrame, steps: int = JUMPS) -> DataFrame:
+    """Each x with the end of its chain x -> y -> .., as far as 2 ** steps steps go."""
+    for _ in range(steps):
         on = hook.select(F.col("x").alias("y"), F.col("y").alias("beyond"))
-        hook = checkpoint(hook.join(on.hint("merge"), "y", "left").select("x", F.coalesce("beyond", "y").alias("y"), F.col("beyond").isNotNull().alias("moved")))
-        if hook.where("moved").isEmpty():
-            return hook.select("x", "y")
-        hook = hook.select("x", "y")
+        hook = hook.join(on.hint("merge"), "y", "left").select("x", F.coalesce("beyond", "y").alias("y"))
+    return hook
+
+
+def hooks(links: DataFrame) -> DataFrame:
+    """(x, y): every id of links (a, b) that has a smaller neighbour, with its smallest. Combined before it is shuffled, so a hub is no hot key."""
+    return links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
+
+
+def partial_labels(links: DataFrame) -> DataFrame:
+    """(id, component): ids under one label are linked, but a component may have several labels. One job."""
+    hook = checkpoint(hooks(links))
+    return checkpoint(_jumped(hook, 2).select(F.col("x").alias("id"), F.col("y").alias("component")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,39 +36,28 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every id with a smaller neighbour onto its smallest, contracts, and
     keeps the links between different contracted ids; rounds grow with the logarithm of a
-    component's size. Neighbours are combined before they are shuffled, so a hub is no hot
-    key. Joins are sort-merge by hint: a broadcast side would stay in the driver's memory
-    for each of the many small jobs.
+    component's size. Joins are sort-merge by hint: a broadcast side would stay in the
+    driver's memory for each of the many small jobs.
     """
-    return extended(None, links)
-
-
-def relabelled(links: DataFrame, label: DataFrame) -> DataFrame:
-    """Links between the components of their ends, distinct, without those inside one."""
-    for end in ("a", "b"):
-        to = label.select(F.col("id").alias(end), F.col("component").alias("to"))
-        links = links.join(to.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return links.where("a <> b").distinct()
-
-
-def extended(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (id, component) after more links; None for none so far."""
-    links = links.select("a", "b").where("a <> b")
-    if label is not None:
-        links = relabelled(links, label)
-    links = checkpoint(links)
-    while not links.isEmpty():
-        hook = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
-        hook = _jump(checkpoint(hook))
+    links = checkpoint(links.select("a", "b").where("a <> b").distinct())
+    label: DataFrame | None = None
+    while label is None or not links.isEmpty():
+        hook = checkpoint(hooks(links))
+        while True:
+            hook = checkpoint(_jumped(hook))
+            on = hook.select(F.col("x").alias("y"))
+            if hook.join(on.hint("merge"), "y", "left_semi").isEmpty():
+                break
         fresh = hook.select(F.col("x").alias("id"), F.col("y").alias("component"))
-        links = checkpoint(relabelled(links, fresh))
+        for end in ("a", "b"):
+            to = fresh.select(F.col("id").alias(end), F.col("component").alias("to"))
+            links = links.join(to.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        links = checkpoint(links.where("a <> b").distinct())
         if label is None:
             label = fresh
         else:
+            # an id that is hooked now was the least of its component, so no label had it
             at = hook.select(F.col("x").alias("component"), F.col("y").alias("next"))
             moved = label.join(at.hint("merge"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-            # an id that is hooked now was the least of its component, so no label had it
-            label = checkpoint(moved.unionByName(fresh))
-    if label is None:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return label
+            label = moved.unionByName(fresh)
+    return checkpoint(label)

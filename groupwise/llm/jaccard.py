@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, stored
-from .components import extended
+from .components import components, partial_labels
 
 #: Bytes of text that are hashed together.
 BATCH = 1 << 20
@@ -51,7 +51,7 @@ COUNTED = 4_000_000
 RECURS = 3
 HOT = 24
 #: Shingles left out at most, the most frequent ones.
-MOST_HOT = 1_000_000
+MOST_HOT = 250_000
 ROUNDS = 2
 LEADERS = 3
 GROWTH = 1.5
@@ -288,11 +288,12 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     wanted = shared.select("sid").distinct().hint("merge").join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
     sets = stored(_sets_of(docs, wanted, words), "sets")
 
-    label: DataFrame | None = None
+    found: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        if label is None:
+        if found is None:
             rows = shared.withColumn("component", F.col("sid"))
         else:
+            label = partial_labels(found)
             rows = shared.join(label.hint("merge"), shared["sid"] == label["id"], "left").withColumn("component", F.coalesce("component", "sid")).drop("id")
             mixed = F.min("component").over(bucket) != F.max("component").over(bucket)
             rows = checkpoint(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
@@ -312,8 +313,9 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
         else:
             left, right = (rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
             pairs = _near(left.join(right.hint("merge"), "key").where("a > b and ca <> cb"), percent).select("a", "b").distinct()
-        label = extended(label, checkpoint(_verified(pairs, sets, percent)))
-    return of, label
+        new = _verified(pairs, sets, percent)
+        found = checkpoint(new if found is None else found.unionByName(new))
+    return of, components(found)
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
