@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence

@@ -57,10 +57,10 @@ class Check:
             return F.min_by(F.when(F.col("tag") == tag, F.col(what)), F.when(F.col("tag") == tag, F.col("rec")))
 
         heads = first.agg(*[of(t, w).alias(f"{t.lower()}_{w}") for t in ("HEADING", "UNIT", "TYPE") for w in ("values", "line", "rec")])
-        trim = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim)
-        self.heads = heads.select("file", "group", trim(F.col("heading_values")).alias("headings"), trim(F.col("unit_values")).alias("units"), trim(F.col("type_values")).alias("types"), *[c for c in heads.columns if c.endswith(("_line", "_rec"))])
+        trim = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x))
+        self.heads = heads.select("file", "group", trim(F.col("heading_values")).alias("headings"), trim(F.col("unit_values")).alias("units"), trim(F.col("type_values")).alias("types"), *[c for c in heads.columns if c.endswith(("_line", "_rec"))]).cache()
         data = records.where("tag = 'DATA' and `group` is not null").select("file", "group", "line", "data_row", "values", "text")
-        self.data = data.join(self.heads.select("file", "group", "headings", "units", "types"), ["file", "group"])
+        self.data = data.join(self.heads.select("file", "group", "headings", "units", "types"), ["file", "group"]).cache()
         self.standard = self.spark.createDataFrame(
             [(g, h.name, h.status, h.type, h.unit, h.ordinal) for g, hs in dictionary.headings.items() for h in hs], "std_group string, std_heading string, status string, std_type string, std_unit string, ordinal int"
         )

@@ -9,8 +9,11 @@ import math
 import os
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import engine_fingerprint
 from ..sources import lexer
@@ -91,36 +94,48 @@ GRIDS = {
 }
 
 
-def to_wgs84(east: Column, north: Column, grid: str = "bng") -> tuple[Column, Column]:
-    """(longitude, latitude) in closed form: inverse transverse Mercator, then a seven-parameter shift. To some metres."""
+def grid_to_wgs84(east: np.ndarray, north: np.ndarray, grid: str = "bng") -> tuple[np.ndarray, np.ndarray]:
+    """(longitude, latitude): inverse transverse Mercator, then a seven-parameter shift. To some metres."""
     g = GRIDS[grid]
     a, b, f0 = g["a"], g["b"], g["f0"]
     e2, n = 1 - b * b / (a * a), (a - b) / (a + b)
     lat0, lon0 = math.radians(g["lat0"]), math.radians(g["lon0"])
 
-    def arc(lat: Column) -> Column:
+    def arc(lat: np.ndarray) -> np.ndarray:
         d, s = lat - lat0, lat + lat0
-        return b * f0 * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(d) * F.cos(s) + (1.875 * (n**2 + n**3)) * F.sin(2 * d) * F.cos(2 * s) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * s))
+        return b * f0 * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 2.625 * n**3) * np.sin(d) * np.cos(s) + (1.875 * (n**2 + n**3)) * np.sin(2 * d) * np.cos(2 * s) - 35 / 24 * n**3 * np.sin(3 * d) * np.cos(3 * s))
 
     lat = (north - g["n0"]) / (a * f0) + lat0
     for _ in range(4):
         lat = (north - g["n0"] - arc(lat)) / (a * f0) + lat
-    v = a * f0 / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2))
-    rho = a * f0 * (1 - e2) / F.pow(1 - e2 * F.pow(F.sin(lat), 2), 1.5)
-    eta, tan, d = v / rho - 1, F.tan(lat), east - g["e0"]
+    v = a * f0 / np.sqrt(1 - e2 * np.power(np.sin(lat), 2))
+    rho = a * f0 * (1 - e2) / np.power(1 - e2 * np.power(np.sin(lat), 2), 1.5)
+    eta, tan, d = v / rho - 1, np.tan(lat), east - g["e0"]
     phi = lat - tan / (2 * rho * v) * d**2 + tan / (24 * rho * v**3) * (5 + 3 * tan**2 + eta - 9 * tan**2 * eta) * d**4 - tan / (720 * rho * v**5) * (61 + 90 * tan**2 + 45 * tan**4) * d**6
-    sec = 1 / F.cos(lat)
+    sec = 1 / np.cos(lat)
     lam = lon0 + sec / v * d - sec / (6 * v**3) * (v / rho + 2 * tan**2) * d**3 + sec / (120 * v**5) * (5 + 28 * tan**2 + 24 * tan**4) * d**5 - sec / (5040 * v**7) * (61 + 662 * tan**2 + 1320 * tan**4 + 720 * tan**6) * d**7
-    nu = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
-    x, y, z = nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), nu * (1 - e2) * F.sin(phi)
+    nu = a / np.sqrt(1 - e2 * np.power(np.sin(phi), 2))
+    x, y, z = nu * np.cos(phi) * np.cos(lam), nu * np.cos(phi) * np.sin(lam), nu * (1 - e2) * np.sin(phi)
     rx, ry, rz = (math.radians(r / 3600) for r in g["r"])
     tx, ty, tz = g["t"]
     k = 1 + g["s"]
     x2, y2, z2 = tx + k * x - rz * y + ry * z, ty + rz * x + k * y - rx * z, tz - ry * x + rx * y + k * z
     wa, wb = 6378137.0, 6356752.314245
     we2 = 1 - wb * wb / (wa * wa)
-    p = F.sqrt(x2 * x2 + y2 * y2)
-    out = F.atan2(z2, p * (1 - we2))
+    p = np.sqrt(x2 * x2 + y2 * y2)
+    out = np.arctan2(z2, p * (1 - we2))
     for _ in range(3):
-        out = F.atan2(z2 + we2 * wa / F.sqrt(1 - we2 * F.pow(F.sin(out), 2)) * F.sin(out), p)
-    return F.degrees(F.atan2(y2, x2)), F.degrees(out)
+        out = np.arctan2(z2 + we2 * wa / np.sqrt(1 - we2 * np.power(np.sin(out), 2)) * np.sin(out), p)
+    return np.degrees(np.arctan2(y2, x2)), np.degrees(out)
+
+
+def to_wgs84(east: Column, north: Column, grid: str = "bng") -> tuple[Column, Column]:
+    """(longitude, latitude) columns. In batches, for as one expression each step would repeat all before it."""
+
+    @F.pandas_udf(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
+    def both(e: pd.Series, n: pd.Series) -> pd.DataFrame:
+        lon, lat = grid_to_wgs84(e.to_numpy(float), n.to_numpy(float), grid)
+        return pd.DataFrame({"lon": lon, "lat": lat})
+
+    at = both(east, north)
+    return at["lon"], at["lat"]

@@ -39,11 +39,6 @@ SAMP = group("SAMP", ["LOCA_ID", "SAMP_TOP", "SAMP_LINK"], ["", "m", ""], ["ID",
 CLEAN = "\r\n".join([PROJ, TRAN, UNIT, TYPE, ABBR, LOCA, SAMP])
 
 
-def fired(spark, text):
-    found = rules.validate(delivery.scan_text(spark, text), D).collect()
-    return {(r["rule"], r["severity"]) for r in found}
-
-
 def test_golden_ids(spark):
     row = spark.range(1).select(
         keys.content_id("PROJ", [("PROJ_ID", F.lit(" P1\t"))]), keys.content_id("LOCA", [("LOCA_ID", F.lit("BH1"))]),
@@ -118,22 +113,23 @@ def test_formats():
     assert values.edit_distance("LOAC", "LOCA") == 1
 
 
-def test_clean_has_no_errors(spark):
-    assert not {f for f in fired(spark, CLEAN) if f[1] == "error"}
+CASES = [
+    ('"BH2","CP","20.50"', '"BH1","CP","20.50"', "10a"), ('"BH2","CP","20.50"', '"","CP","20.50"', "10b"), ('"BH2","2.00"', '"BH9","2.00"', "10c"), ('"20.50"', '"20.5"', "8"), ('"BH2","CP"', '"BH2","XX"', "16"),
+    ("LOCA|BH1", "LOCA|BH7", "11c"), ('"DATA","m"', '"DATA","ft"', "15"), ('"DATA","RL"\r\n', "", "17"), ('"PROJ_ID"', '"PROJ_QQ"', "9"), ('"GROUP","SAMP"', '"GROUP","samp"', "19"), ('"DATA","P1"\r\n', "", "2"),
+    ('"UNIT","","m",""\r\n', "", "2b"), ('"BH2","2.00",""', '"BH2","2.00"', "4"), ('"BH2","2.00",""', 'BH2,"2.00",""', "5"), ('"LOCA_TYPE","LOCA_GL"\r\n"UNIT","","","m"', '"LOCA_GL","LOCA_TYPE"\r\n"UNIT","","","m"', "7"),
+    ('"BH2","CP"', '"BH2","€"', "1"), ('"DATA","P1"', '"DATA","P1"\r\n"DATA","P2"', "13"), ('"4.1.1","|"', '"4.1.1",""', "11a"), ('"DATA","P1"\r\n', '"DATA","P1"\n', "2a"), ('"DATA","P1"', '"DATUM","P1"', "3"),
+]
 
 
-@pytest.mark.parametrize(
-    ("old", "new", "rule"),
-    [
-        ('"BH2","CP","20.50"', '"BH1","CP","20.50"', "10a"), ('"BH2","CP","20.50"', '"","CP","20.50"', "10b"), ('"BH2","2.00"', '"BH9","2.00"', "10c"), ('"20.50"', '"20.5"', "8"), ('"BH2","CP"', '"BH2","XX"', "16"),
-        ("LOCA|BH1", "LOCA|BH7", "11c"), ('"DATA","m"', '"DATA","ft"', "15"), ('"DATA","RL"\r\n', "", "17"), ('"PROJ_ID"', '"PROJ_QQ"', "9"), ('"GROUP","SAMP"', '"GROUP","samp"', "19"), ('"DATA","P1"\r\n', "", "2"),
-        ('"UNIT","","m",""\r\n', "", "2b"), ('"BH2","2.00",""', '"BH2","2.00"', "4"), ('"BH2","2.00",""', 'BH2,"2.00",""', "5"), ('"LOCA_TYPE","LOCA_GL"\r\n"UNIT","","","m"', '"LOCA_GL","LOCA_TYPE"\r\n"UNIT","","","m"', "7"),
-        ('"BH2","CP"', '"BH2","€"', "1"), ('"DATA","P1"', '"DATA","P1"\r\n"DATA","P2"', "13"), ('"4.1.1","|"', '"4.1.1",""', "11a"), ('"DATA","P1"\r\n', '"DATA","P1"\n', "2a"), ('"DATA","P1"', '"DATUM","P1"', "3"),
-    ],
-)
-def test_rule_fires(spark, old, new, rule):
-    assert old in CLEAN
-    assert rule in {r for r, _ in fired(spark, CLEAN.replace(old, new, 1))}
+def test_rules(spark):
+    """One plan over a corpus of files, each with one defect, and a clean one."""
+    records = [r for i, (old, new, _) in enumerate(CASES) for r in delivery._tuples(str(i), CLEAN.replace(old, new, 1).encode(), "utf-8", "strict")]
+    records += delivery._tuples("clean", CLEAN.encode(), "utf-8", "strict")
+    assert all(old in CLEAN for old, _, _ in CASES)
+    found = rules.validate(spark.createDataFrame(records, delivery.ROWS).coalesce(1).cache(), D).select("file", "rule", "severity").distinct().collect()
+    assert not [r for r in found if r["file"] == "clean" and r["severity"] == "error"]
+    missed = [c for i, c in enumerate(CASES) if (str(i), c[2]) not in {(r["file"], r["rule"]) for r in found}]
+    assert not missed
 
 
 def test_fix_converges(spark):
