@@ -38,10 +38,10 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def _linked(keys: DataFrame, low: int, high: int) -> DataFrame:
+    if high - low < FAN:
+        return keys.select("key", F.lead("key").over(Window.partitionBy(F.lit(0)).orderBy("key")).alias("next_key"))
     up = F.floor(F.col("key") / F.lit(FAN)).cast("long")
     inner = keys.withColumn("up", up).withColumn("lead", F.lead("key").over(Window.partitionBy("up").orderBy("key")))
-    if high // FAN == low // FAN:
-        return inner.select("key", F.col("lead").alias("next_key"))
     firsts = keys.groupBy(up.alias("key")).agg(F.min("key").alias("first"))
     above = _linked(firsts.select("key"), low // FAN, high // FAN).select(F.col("key").alias("up"), F.col("next_key").alias("up_next"))
     across = above.join(firsts.select(F.col("key").alias("up_next"), "first"), "up_next").select("up", "first")

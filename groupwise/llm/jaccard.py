@@ -53,7 +53,10 @@ HOT = 24
 #: Shingles left out at most, the most frequent ones.
 MOST_HOT = 250_000
 ROUNDS = 2
-LEADERS = 3
+#: Leaders verified for each set, in the first round and later ones.
+LEADERS = (1, 3)
+#: Bits of the filters that keep texts and sets out of a join; their size is fixed, more ids only make them pass more.
+FILTER_BITS = 1 << 20
 GROWTH = 1.5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -252,8 +255,24 @@ def _buckets(docs: DataFrame, words: int, sketches: Sketches) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, sid long, n long")
 
 
+def _filtered(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the ids (one column): all that are, and few others.
+
+    The filter is a bitmap of FILTER_BITS bits over hashes; what comes to the driver has at
+    most that many rows and stands for no id.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    found = ids.select(bit(F.col(ids.columns[0])).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits[found] = 1
+    packed = F.lit(bytearray(np.packbits(bits, bitorder="little").tobytes()))
+    at = bit(F.col(column))
+    byte = F.conv(F.hex(F.substring(packed, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.where(F.expr("true") & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, h) of the wanted (doc_id, sid)."""
+    """(sid, h) of the wanted (doc_id, sid); more than once where rows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,13 +283,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"sid": pa.array([s for s, _ in good], pa.int64()), "h": pa.array([h for _, h in good], pa.list_(pa.int64()))})
 
     named = wanted.select(F.col("doc_id").alias("rep"), "sid")
-    rows = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("text", "sid")
-    return rows.mapInArrow(run, "sid long, h array<long>").dropDuplicates(["sid"])
+    near = _filtered(docs, "doc_id", named.select("rep"))
+    rows = near.join(named.hint("merge"), near["doc_id"].eqNullSafe(named["rep"])).select("text", "sid")
+    return rows.mapInArrow(run, "sid long, h array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    left, right = (sets.select(F.col("sid").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    pairs = checkpoint(pairs)
+    left, right = (_filtered(sets, "sid", pairs.select(x)).select(F.col("sid").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
     common = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
@@ -286,6 +307,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
     least, most = F.min("sid").over(bucket), F.max("sid").over(bucket)
     shared = stored(rows.withColumn("least", least).withColumn("most", most).where("least <> most").select("key", "sid", "n").distinct(), "buckets")
     wanted = shared.select("sid").distinct().hint("merge").join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
+    wanted = checkpoint(wanted)
     sets = stored(_sets_of(docs, wanted, words), "sets")
 
     found: DataFrame | None = None
@@ -308,7 +330,7 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
             pairs = led.withColumn("other", other).select("sid", F.col("n").alias("na"), F.col("other.sid").alias("lead"), F.col("other.n").alias("nb"))
             pairs = _near(pairs, percent).groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("times"))
             best = Window.partitionBy("sid").orderBy(F.desc("times"), "lead")
-            pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS)
+            pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
             pairs = pairs.select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
         else:
             left, right = (rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
