@@ -45,8 +45,11 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
         cut = F.expr(f"shiftright(h, {BITS - end})")
         cells = left.groupBy(cut.alias("cell")).agg(F.sum("bytes").alias("cell_bytes"), F.count(F.lit(1)).alias("cell_rows"))
         levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(end)))).withColumn("bucket", F.expr(f"shiftright(cell, {end} - depth)"))
-        sums = levels.groupBy("depth", "bucket").agg(F.sum("cell_bytes").alias("bucket_bytes"), F.sum("cell_rows").alias("bucket_rows"))
+        sums = checkpoint(levels.groupBy("depth", "bucket").agg(F.sum("cell_bytes").alias("bucket_bytes"), F.sum("cell_rows").alias("bucket_rows")))
         fit = sums.where((F.col("bucket_bytes") <= limit) | (F.col("bucket_rows") == 1))
+        # depths at which no bucket fits are left out of the join: all cells share their few buckets
+        low = fit.agg(F.min("depth")).first()[0]
+        levels = levels.where(F.col("depth") >= (end + 1 if low is None else low))
         # the shallowest bucket that fits, for each cell
         place = levels.join(fit, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("at"))
         placed = checkpoint(left.withColumn("cell", cut).join(place, "cell", "left").select("doc_id", "h", "bytes", "tie", F.col("at.depth").alias("depth"), F.col("at.bucket").alias("bucket")))
