@@ -57,6 +57,8 @@ ROUNDS = 2
 LEADERS = (1, 3)
 #: Bits of the filters that keep texts and sets out of a join; their size is fixed, more ids only make them pass more.
 FILTER_BITS = 1 << 20
+#: Bits of one value of Spark's bitmap_construct_agg.
+BITMAP = 8 * 4096
 GROWTH = 1.5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -227,8 +229,8 @@ def _hot(summary: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h), "times": pa.array(n)})
 
     sums = summary.where("hot is not null").select("hot").mapInArrow(spread, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
-    top = sums.where(F.col("times") >= HOT).orderBy(F.desc("times"), "h").limit(MOST_HOT).select("h").toPandas()
-    return top["h"].to_numpy(np.int64).view(np.uint64)
+    top = sums.where(F.col("times") >= HOT).orderBy(F.desc("times"), "h").limit(MOST_HOT).select("h").toArrow()
+    return top["h"].to_numpy().astype(np.int64).view(np.uint64)
 
 
 def _buckets(docs: DataFrame, words: int, sketches: Sketches) -> DataFrame:
@@ -258,17 +260,16 @@ def _buckets(docs: DataFrame, words: int, sketches: Sketches) -> DataFrame:
 def _filtered(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among the ids (one column): all that are, and few others.
 
-    The filter is a bitmap of FILTER_BITS bits over hashes; what comes to the driver has at
-    most that many rows and stands for no id.
+    The filter is a bitmap of FILTER_BITS bits over hashes, built by aggregation as rows of
+    BITMAP bits. Those few rows are broadcast; their size doesn't depend on the number of ids.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    found = ids.select(bit(F.col(ids.columns[0])).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(FILTER_BITS, np.uint8)
-    bits[found] = 1
-    packed = F.lit(bytearray(np.packbits(bits, bitorder="little").tobytes()))
-    at = bit(F.col(column))
-    byte = F.conv(F.hex(F.substring(packed, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return df.where(F.expr("true") & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    found = ids.select(bit(F.col(ids.columns[0])).alias("bit"))
+    maps = found.groupBy((F.col("bit") - F.col("bit") % BITMAP).alias("start")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP).alias("bits"))
+    at = bit(df[column]) % BITMAP
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    return df.join(F.broadcast(maps), (bit(df[column]) - at == maps["start"]) & there, "left_semi")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
