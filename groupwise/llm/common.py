@@ -68,8 +68,13 @@ def summed(partials: DataFrame, key: str, value: str, width: int = 16) -> dict:
     return {r[key]: np.frombuffer(r[value]) for r in some.repartition(width, key).mapInPandas(add, partials.schema).collect()}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: compact, with known size, and without lineage."""
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table into the shared folder and read it back: compact, with known size, and without lineage.
+
+    In iterations it takes the place of checkpoint(), whose result keeps the size estimated
+    for its plan: a table joined with itself again and again is soon estimated at a number so
+    long that multiplying it stops the driver.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 
 
 #: Steps of pointer jumping in one plan; they cover chains of 2 ** JUMPS ids.
@@ -25,12 +25,6 @@ def hooks(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
 
 
-def partial_labels(links: DataFrame) -> DataFrame:
-    """(id, component): ids under one label are linked, but a component may have several labels. One job."""
-    hook = checkpoint(hooks(links))
-    return checkpoint(_jumped(hook, 2).select(F.col("x").alias("id"), F.col("y").alias("component")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in links (a, b) but each component's least, that least id.
 
@@ -39,12 +33,12 @@ def components(links: DataFrame) -> DataFrame:
     component's size. Joins are sort-merge by hint: a broadcast side would stay in the
     driver's memory for each of the many small jobs.
     """
-    links = checkpoint(links.select("a", "b").where("a <> b").distinct())
+    links = stored(links.select("a", "b").where("a <> b").distinct())
     label: DataFrame | None = None
     while label is None or not links.isEmpty():
-        hook = checkpoint(hooks(links))
+        hook = stored(hooks(links))
         while True:
-            hook = checkpoint(_jumped(hook))
+            hook = stored(_jumped(hook))
             on = hook.select(F.col("x").alias("y"))
             if hook.join(on.hint("merge"), "y", "left_semi").isEmpty():
                 break
@@ -52,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             to = fresh.select(F.col("id").alias(end), F.col("component").alias("to"))
             links = links.join(to.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = checkpoint(links.where("a <> b").distinct())
+        links = stored(links.where("a <> b").distinct())
         if label is None:
             label = fresh
         else:
@@ -60,4 +54,4 @@ def components(links: DataFrame) -> DataFrame:
             at = hook.select(F.col("x").alias("component"), F.col("y").alias("next"))
             moved = label.join(at.hint("merge"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
             label = moved.unionByName(fresh)
-    return checkpoint(label)
+    return stored(label)

@@ -20,7 +20,9 @@ shingles, keeping those that recur there, and summing.
 
 Buckets propose pairs in rounds: first each set against one leader of each of its buckets
 that is in another component so far, its likeliest leaders verified; after ROUNDS of these, all pairs of
-different components that still share a bucket. Pairs are verified exactly on their sets.
+different components that still share a bucket. A short parity sketch of each set goes with
+it: where two of them differ in more bits than the bound, so do the sets, and the pair goes
+no further. All others are verified exactly on their sets.
 Within a component nothing more is tried, so a group of copies costs a star and not all
 pairs, and every link between components is found.
 
@@ -38,11 +40,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, stored
-from .components import components, partial_labels
+from .common import stored
+from .components import components
 
 #: Bytes of text that are hashed together.
 BATCH = 1 << 20
@@ -52,9 +54,11 @@ RECURS = 3
 HOT = 24
 #: Shingles left out at most, the most frequent ones.
 MOST_HOT = 250_000
-ROUNDS = 2
+ROUNDS = 3
 #: Leaders verified for each set, in the first round and later ones.
 LEADERS = (1, 3)
+#: 64-bit words of the short sketch by which proposed pairs are tested.
+SHORT = 8
 #: Bits of the filters that keep texts and sets out of a join; their size is fixed, more ids only make them pass more.
 FILTER_BITS = 1 << 20
 #: Bits of one value of Spark's bitmap_construct_agg.
@@ -272,8 +276,20 @@ def _filtered(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(maps), (bit(df[column]) - at == maps["start"]) & there, "left_semi")
 
 
+def short_sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each of 64 * SHORT places, as SHORT words."""
+    odd = np.bincount((mix(h ^ _ODD) % np.uint64(64 * SHORT)).astype(np.int64), minlength=64 * SHORT) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which the short sketches k{a}0.. and k{b}0.. differ: their sets differ in as many shingles at least."""
+    return sum((F.bit_count(F.col(f"k{a}{i}").bitwiseXOR(F.col(f"k{b}{i}"))) for i in range(SHORT)), F.lit(0))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, h) of the wanted (doc_id, sid); more than once where rows repeat."""
+    """(sid, h, k0, k1, ..) of the wanted (doc_id, sid): its set and short sketch; more than once where rows repeat."""
+    schema = pa.schema([("sid", pa.int64()), ("h", pa.list_(pa.int64())), *((f"k{i}", pa.int64()) for i in range(SHORT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,17 +297,18 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for at in range(0, len(asked), 200):
                 sets = list(shingle_sets(batch.column(0).slice(at, 200).to_pylist(), words))
                 good = [(s, h.view(np.int64)) for s, h in zip(asked[at : at + 200], sets) if set_id(h) == s]
-                yield pa.RecordBatch.from_pydict({"sid": pa.array([s for s, _ in good], pa.int64()), "h": pa.array([h for _, h in good], pa.list_(pa.int64()))})
+                short = np.array([short_sketch(h.view(np.uint64)) for _, h in good], np.int64).reshape(-1, SHORT)
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in good], pa.int64()), pa.array([h for _, h in good], pa.list_(pa.int64())), *map(pa.array, short.T.copy())], schema=schema)
 
     named = wanted.select(F.col("doc_id").alias("rep"), "sid")
     near = _filtered(docs, "doc_id", named.select("rep"))
     rows = near.join(named.hint("merge"), near["doc_id"].eqNullSafe(named["rep"])).select("text", "sid")
-    return rows.mapInArrow(run, "sid long, h array<long>")
+    return rows.mapInArrow(run, "sid long, h array<long>, " + ", ".join(f"k{i} long" for i in range(SHORT)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    pairs = checkpoint(pairs)
+    pairs = stored(pairs)
     left, right = (_filtered(sets, "sid", pairs.select(x)).select(F.col("sid").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
     common = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
@@ -300,26 +317,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every document, and (id, component) of sets that link with a lesser one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = checkpoint(_summary(docs, words))
+    summary = stored(_summary(docs, words))
     of = summary.where("hot is null").select("doc_id", "n", "sid")
     sketches = Sketches(percent, _hot(summary))
     bucket = Window.partitionBy("key")
     rows = _buckets(docs, words, sketches)
     least, most = F.min("sid").over(bucket), F.max("sid").over(bucket)
-    shared = stored(rows.withColumn("least", least).withColumn("most", most).where("least <> most").select("key", "sid", "n").distinct(), "buckets")
+    rows = rows.withColumn("least", least).withColumn("most", most).where("least <> most").select("key", "sid", "n").distinct()
+    members = [F.count("sid").over(bucket).alias("m0"), *(F.sum(F.xxhash64(F.lit(k), "sid") % (1 << 40)).over(bucket).alias(f"m{k}") for k in (1, 2))]
+    shared = _one_key_each(stored(rows.select("*", *members), "buckets"))
     wanted = shared.select("sid").distinct().hint("merge").join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
-    wanted = checkpoint(wanted)
+    wanted = stored(wanted)
     sets = stored(_sets_of(docs, wanted, words), "sets")
+    short = stored(sets.groupBy("sid").agg(*(F.first(f"k{i}").alias(f"k{i}") for i in range(SHORT))))
+    sketched = lambda df, of, x: df.join(short.select(F.col("sid").alias(of), *(F.col(f"k{i}").alias(f"k{x}{i}") for i in range(SHORT))).hint("merge"), of)
 
     found: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         if found is None:
             rows = shared.withColumn("component", F.col("sid"))
         else:
-            label = partial_labels(found)
+            label = components(found)
             rows = shared.join(label.hint("merge"), shared["sid"] == label["id"], "left").withColumn("component", F.coalesce("component", "sid")).drop("id")
             mixed = F.min("component").over(bucket) != F.max("component").over(bucket)
-            rows = checkpoint(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
+            rows = stored(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
             if rows.isEmpty():
                 break
             shared = rows.select("key", "sid", "n")
@@ -329,18 +350,36 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
             led = led.withColumn("second", F.min(F.when(F.col("component") != F.col("first.component"), me)).over(bucket))
             other = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
             pairs = led.withColumn("other", other).select("sid", F.col("n").alias("na"), F.col("other.sid").alias("lead"), F.col("other.n").alias("nb"))
-            pairs = _near(pairs, percent).groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("times"))
-            best = Window.partitionBy("sid").orderBy(F.desc("times"), "lead")
+            pairs = _near(pairs.distinct(), percent)
+            pairs = sketched(sketched(pairs, "lead", "b"), "sid", "a").withColumn("apart", _apart("a", "b"))
+            pairs = pairs.where(_within("apart", percent)).select("sid", "lead", "apart")
+            best = Window.partitionBy("sid").orderBy("apart", "lead")
             pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
             pairs = pairs.select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
         else:
-            left, right = (rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = _near(left.join(right.hint("merge"), "key").where("a > b and ca <> cb"), percent).select("a", "b").distinct()
+            left, right = (sketched(rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")), x, x) for x in "ab")
+            pairs = left.join(right.hint("merge"), "key").where("a > b and ca <> cb")
+            pairs = _near(pairs, percent).where(_within(_apart("a", "b"), percent)).select("a", "b").distinct()
         new = _verified(pairs, sets, percent)
-        found = checkpoint(new if found is None else found.unionByName(new))
+        found = stored(new if found is None else found.unionByName(new))
     return of, components(found)
 
 
+def _one_key_each(rows: DataFrame) -> DataFrame:
+    """(key, sid, n) without buckets whose members (their number m0 and sums m1, m2 of their hashes) are those of another bucket.
+
+    Members of a family share hundreds of parts, which would propose the same pairs as often.
+    """
+    kept = rows.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key")
+    return stored(rows.join(kept.hint("merge"), "key", "left_semi").select("key", "sid", "n"), "buckets")
+
+
+def _within(apart: Column | str, percent: int) -> Column:
+    """Whether sets of na and nb shingles that differ in ``apart`` of them at least can link."""
+    apart = F.col(apart) if isinstance(apart, str) else apart
+    return (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes na and nb let them link."""
     return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
