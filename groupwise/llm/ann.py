@@ -16,6 +16,8 @@ to the wide side.
 
 Queries meet blocks by key, both cut into parts of bounded size; each pair of parts returns
 its best k for each query, and a window keeps the best k of these.
+A query with fewer than k rows within the radius over all blocks searches again with the
+widest radius, which every code is within, so that all candidates are reranked for it.
 
 Defined results: vectors null, zero, of another length than most, or holding null or
 non-finite components take no part; ties go to the smaller id; one id in several rows is
@@ -32,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 
 SAMPLE = 6000
 WORDS = 4
@@ -157,25 +160,42 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     blocks = max(1, math.ceil(n / BLOCK))
     asked = rows.where(F.expr("vec_id is not null") & is_query)
-    groups = max(1, math.ceil(asked.count() / QUERIES))
     salt = F.xxhash64(F.lit("block"), "vec_id", F.xxhash64("embedding"))
-    part = asked.withColumn("qb", F.pmod(salt, F.lit(groups)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = rows.withColumn("cb", F.pmod(salt, F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(queries) and len(candidates):
-            q, q_size = _unit(queries["embedding"])
-            c, c_size = _unit(candidates["embedding"])
-            ids = candidates["vec_id"].to_numpy()
-            found = Index(coder(c / c_size[:, None])).within(coder(q / q_size[:, None]), radius)
-            for i, (own, hit) in enumerate(zip(queries["vec_id"].tolist(), found)):
-                hit = hit[ids[hit] != own]
-                score = (c[hit] * q[i]).sum(1) / (c_size[hit] * q_size[i])
-                best = np.lexsort((ids[hit], -score))[:k]
-                out += [(own, int(ids[hit[b]]), float(score[b])) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = part.groupBy("cb", "qb").cogroup(block.groupBy("cb", "qb")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asked: DataFrame, n_asked: int, radius: int) -> DataFrame:
+        groups = max(1, math.ceil(n_asked / QUERIES))
+        part = asked.withColumn("qb", F.pmod(salt, F.lit(groups)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        block = rows.withColumn("cb", F.pmod(salt, F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+        def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple] = []
+            if len(queries) and len(candidates):
+                q, q_size = _unit(queries["embedding"])
+                c, c_size = _unit(candidates["embedding"])
+                ids = candidates["vec_id"].to_numpy()
+                if radius >= 64 * WORDS:
+                    found = (np.arange(len(c)) for _ in q)
+                else:
+                    found = Index(coder(c / c_size[:, None])).within(coder(q / q_size[:, None]), radius)
+                for i, (own, hit) in enumerate(zip(queries["vec_id"].tolist(), found)):
+                    hit = hit[ids[hit] != own]
+                    score = (c[hit] * q[i]).sum(1) / (c_size[hit] * q_size[i])
+                    top = np.lexsort((ids[hit], -score))[:k]
+                    out += [(own, int(ids[hit[b]]), float(score[b])) for b in top]
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+        met = part.groupBy("cb", "qb").cogroup(block.groupBy("cb", "qb")).applyInPandas(search, "query_id long, vec_id long, score double")
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = best(asked, asked.count(), radius)
+    if radius >= 64 * WORDS:
+        return near
+    near = stored(near, "nearest")
+    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("full_id"))
+    short = stored(asked.join(full, asked["vec_id"] == full["full_id"], "left_anti"), "short")
+    n_short = short.count()
+    if not n_short:
+        return near
+    wide = best(short, n_short, 64 * WORDS)
+    return near.join(full, near["query_id"] == full["full_id"], "left_semi").unionByName(wide)

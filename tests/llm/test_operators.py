@@ -149,6 +149,25 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_beside_tight_clusters(spark):
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(20, 64))
+    x = heads[np.arange(2000) % 20] + 0.2 * rng.normal(size=(2000, 64))
+    alone = np.arange(0, 2000, 100)
+    x[alone] = rng.normal(size=(20, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()
+    assert len(got) == 5 * 40
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    coder, radius = ann.learn(unit, 5)
+    short = alone[(ann.hamming(coder(unit[alone]), coder(unit)) <= radius).sum(1) - 1 < 5]
+    assert len(short) >= 5
+    for q in short.tolist():
+        score = unit @ unit[q]
+        score[q] = -2
+        assert [(r["rank"], r["vec_id"]) for r in got if r["query_id"] == q] == list(enumerate(np.argsort(-score)[:5].tolist(), 1))
+
+
 def test_index_probes_find_all_in_radius():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 1 << 63, (5000, ann.WORDS), dtype=np.uint64)
