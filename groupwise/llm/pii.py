@@ -3,8 +3,8 @@
 The patterns (``base_spans``) are fixed. The field adds what they miss, such as telephone
 numbers without a country code. It labels words by their shapes and those of their
 neighbours; a word without a digit or an @ is outside by definition, so a text falls into
-independent runs of other words, and only these are decoded, by Viterbi over arrays of many
-runs at once. It is trained on the driver from a small labelled table made from templates.
+independent runs of other words, and only these are decoded, each whole, by Viterbi over
+arrays of many runs at once. It is trained on the driver from a small labelled table made from templates.
 
 Defined results: null text counts as empty and has no spans; whole texts are searched, each
 pattern in time linear in the text; a span that the field adds never touches a base span.
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 #: Outside, then beginning and inside of each kind.
 STATES = 1 + 2 * len(KINDS)
-LONGEST_RUN = 64
+#: Places, padding included, that one decoding holds; a longer run is decoded alone.
+PLACES = 1 << 17
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -99,7 +100,7 @@ def runs(text: str) -> Iterator[tuple[list[Word], str, str]]:
             start -= 1
         gap = _SPACE.search(text, m.end())
         end = gap.start() if gap else len(text)
-        if run and (text[run[-1].end : start].strip(" \t\n\x0b\x0c\r") or len(run) >= LONGEST_RUN):
+        if run and text[run[-1].end : start].strip(" \t\n\x0b\x0c\r"):
             yield run, *_around(text, run)
             run = []
         run.append(Word(start, end, text[start:end]))
@@ -306,8 +307,12 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
     if not found:
         return out
     order = sorted(range(len(found)), key=lambda k: len(found[k][1]))
-    for at in range(0, len(order), 2048):
-        part = order[at : at + 2048]
+    ends = [0]
+    for at, k in enumerate(order):
+        if at > ends[-1] and (at + 1 - ends[-1]) * len(found[k][1]) > PLACES:
+            ends.append(at)
+    for at, end in zip(ends, [*ends[1:], len(order)]):
+        part = order[at:end]
         for k, states in zip(part, field.decode([found[k][2] for k in part])):
             i, run, _ = found[k]
             t = 0

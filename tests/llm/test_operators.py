@@ -295,6 +295,18 @@ def test_personal_data(spark, docs, none):
     assert pii.find(docs, field).count() == len(rows()) and pii.find(none, field).count() == 0
 
 
+def test_personal_data_in_long_runs(spark):
+    field = pii.default_field()
+    want = lambda n: pii.Span(3, 5 * n, 5 * n + 14)
+    texts = {n: "2024 " * n + "(988) 555-2485" + " 2024" * 3 for n in (0, 62, 63, 64, 127, 1000, 50_000)}
+    for n, t in texts.items():
+        # found whole, however many numbers stand before it in its run
+        assert pii.added_spans([t], [[]], field) == [[want(n)]], n
+    assert pii.added_spans(list(texts.values()), [[]] * len(texts), field) == [[want(n)] for n in texts]
+    redacted = spark.createDataFrame([(texts[63],)], "text string").select(pii.redactor(field)("text")).first()[0]
+    assert redacted == "2024 " * 63 + "[PHONE]" + " 2024" * 3
+
+
 def test_language(spark, none):
     rng = random.Random(5)
     letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "éèàùopq"}
