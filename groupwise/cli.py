@@ -33,6 +33,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--out")
     p.add_argument("--risky", action="store_true")
     p.add_argument("--clash", default="error", choices=merge_files.CLASHES)
+    p.add_argument("--missing-tran", default="reconcile", choices=merge_files.MISSING_TRAN)
     a = p.parse_args(args)
     out = a.out or a.files[0] + ".out"
     if a.verb in ("pack", "unpack", "lock", "unlock"):
@@ -73,7 +74,10 @@ def main(args: list[str] | None = None) -> int:
             added, removed, both = merge_files.diff(read[0], read[1], dictionary)
             print(json.dumps({"added": added, "removed": removed, "groups": {g: [r.asDict(True) for r in d.toLocalIterator()] for g, d in both.items()}}, default=str))
         elif a.verb == "merge":
-            emit.write(merge_files.merge(read, dictionary, a.clash), out)
+            warnings: list[dict[str, str | None]] = []
+            emit.write(merge_files.merge(read, dictionary, a.clash, a.missing_tran, warnings), out)
+            for w in warnings:
+                print(json.dumps(w), file=sys.stderr)
         else:
             emit.write_xlsx([emit.Block(g, read[0].raw(g), s.headings, s.units, s.types, ["data_row"]) for g, s in read[0].shapes.items()], out)
         return OK

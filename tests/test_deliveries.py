@@ -168,6 +168,23 @@ def test_diff_and_merge(spark):
     assert merge_files.merged_type(["2DP", "3DP"], "promote") == "3DP"
 
 
+def test_merge_keeps_every_transmission(spark):
+    keyed = Dictionary.from_text(group("DICT", ["DICT_TYPE", "DICT_GRP", "DICT_HDNG", "DICT_STAT"], [""] * 4, ["X"] * 4, ["GROUP", "TRAN", "", ""], ["HEADING", "TRAN", "TRAN_ISNO", "KEY"])).layered(D)
+    tran = lambda no, day, *more: group("TRAN", ["TRAN_ISNO", "TRAN_DATE", *["TRAN_REM"] * len(more)], [""] * (2 + len(more)), ["X", "DT", *["X"] * len(more)], [no, day, *more])
+    loca = lambda t: group("LOCA", ["LOCA_ID", "LOCA_GL"], ["", "m"], ["ID", t], ["BH1", "1.00"])
+    files = [delivery.read_text(spark, PROJ + t + loca(d), dictionary=keyed) for t, d in ((tran("1", "2024-05-02", "first"), "2DP"), (tran("2", "2024-05-01"), "3DP"), (tran("2", "2024-05-03"), "2DP"))]
+    warnings = []
+    text = emit.to_text(merge_files.merge(files, keyed, "promote", warnings=warnings))
+    rows = [r.values for r in lexer.rows(text) if r.tag == "DATA" and r.group == "TRAN"]
+    assert rows == [["1", "2024-05-02", "first"], ["2", "2024-05-03", ""]]
+    assert [(w["kind"], w["group"], w["heading"]) for w in warnings] == [("recency_contradiction", "TRAN", "TRAN_DATE"), ("tran_not_stamped", "TRAN", None), ("type_promoted", "LOCA", "LOCA_GL")]
+    widened = []
+    merge_files.merge(files, keyed, "widen", warnings=widened)
+    assert widened[-1]["kind"] == "type_widened"
+    with pytest.raises(lexer.DeliveryError):
+        merge_files.merge(files, keyed, "widen", missing_tran="error")
+
+
 def test_censor(spark):
     df = spark.createDataFrame([(1, "Zed", "a (b) c"), (2, "Amy", "x"), (3, "Zed", "")], "n int, who string, note string")
     got = censor.censor(df, {"who": "pseudonym", "note": "brackets"}, "n").orderBy("n").collect()
