@@ -29,18 +29,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the group's least id.
 
-    Rows that share this id keep the first by hash of the text; rows with null ids in a group
-    that has no other id are kept.
+    Where an id stands on several rows, each row counts for the group that its own text is in;
+    of those with the least id of one group, the first by hash of the text stays. Rows without
+    words, and rows with null ids in a group that has no other id, are kept.
     """
-    groups = jaccard.near_duplicates(docs)
+    groups = jaccard.near_duplicate_sets(docs)
     least = groups.where("component_id = doc_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(least, docs["doc_id"].eqNullSafe(least["kept_id"])).drop("kept_id")
-    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("several_id"))
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("several_id"))
     if several.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    twice = kept.join(several, kept["doc_id"] == several["several_id"], "left_semi").withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
-    return kept.join(several, kept["doc_id"] == several["several_id"], "left_anti").unionByName(twice)
+    repeated = kept["doc_id"].eqNullSafe(several["several_id"])
+    own = groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("own_id"), "sid", "component").distinct()
+    twice = kept.join(several, repeated, "left_semi").withColumn("set_id", jaccard.set_ids()("text"))
+    twice = twice.join(own, F.expr("doc_id <=> own_id and set_id = sid"))
+    order = Window.partitionBy("doc_id", "component").orderBy(F.xxhash64("text"))
+    first = twice.where("doc_id is not null and sid <> 0").withColumn("turn", F.row_number().over(order)).where("turn = 1")
+    every = twice.where("doc_id is null or sid = 0")
+    once = kept.join(several, repeated, "left_anti")
+    return once.unionByName(first.select(docs.columns)).unionByName(every.select(docs.columns))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

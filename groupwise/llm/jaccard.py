@@ -39,6 +39,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -385,11 +386,26 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
+def set_ids(words: int = 5):
+    """A column of texts as the ids of their sets."""
+
+    @F.pandas_udf("long")
+    def ids(column: pd.Series) -> pd.Series:
+        return pd.Series([set_id(h) for h in shingle_sets([t if isinstance(t, str) else None for t in column], words)], dtype="int64")
+
+    return ids
+
+
+def near_duplicate_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, sid, n_shingles, component, component_id): as ``near_duplicates``, with the set of each row and that which names its component."""
     of, label = links(docs, words, percent)
-    named = of.join(label.hint("merge"), of["sid"] == label["id"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
+    named = of.join(label.hint("merge"), of["sid"] == label["id"], "left").select("doc_id", "sid", "n", F.coalesce("component", "sid").alias("component"))
     full = named.where("n > 0")
     least = full.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    grouped = full.join(least, full["component"] == least["of"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return grouped.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    grouped = full.join(least, full["component"] == least["of"]).select("doc_id", "sid", F.col("n").alias("n_shingles"), "component", "component_id")
+    return grouped.unionByName(named.where("n = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"), "component", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
+    return near_duplicate_sets(docs, words, percent).select("doc_id", "n_shingles", "component_id")

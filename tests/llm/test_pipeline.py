@@ -26,3 +26,16 @@ def test_stages(spark):
     mixed = stages["mixing sources to target weights"](spark, clean, DATA)
     assert mixed.columns == columns and mixed.select("doc_id").distinct().join(clean, "doc_id", "left_anti").count() == 0
     assert stages["BPE encoding and decoding"](spark, mixed, DATA).where("n_tokens <> size(ids)").count() == 0
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda name: text(name) + f" {name}"
+    docs = [(1, text("a")), (2, near("a")), (1, text("b")), (3, near("b")), (1, near("b")), (2, text("c")), (4, text("d")), (5, ""), (5, text("e")), (None, text("f")), (None, near("a")), (None, None)]
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA)
+    assert got.columns == ["doc_id", "text"]
+    found = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    of_b = [r for r in found if r[1] and r[1].startswith("b0")]
+    assert len(of_b) == 1 and of_b[0] in [(1, text("b")), (1, near("b"))]
+    want = [(1, text("a")), (2, text("c")), (4, text("d")), (5, ""), (5, text("e")), (None, text("f")), (None, None)]
+    assert [r for r in found if r not in of_b] == sorted(want, key=str)
