@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 800_000
-#: Words of more bytes than this are merged one by one.
+#: Words of more bytes than this are guessed, and where broken merged, one by one.
 SHORT = 48
 #: Fixed value: marks that often end a word; any of them after letters is a piece of its own.
 MARKS = frozenset(",.;:!?")
@@ -200,6 +200,7 @@ class Vocabulary:
                     nodes[t[:n]] = len(nodes)
                     edges[nodes[t[: n - 1]] << 8 | t[n - 1]] = nodes[t[:n]]
             ends[nodes[t]] = i
+        self.edges = edges
         self.edge = Table(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges)))
         self.token_at = np.full(len(nodes), -1, np.int64)
         self.token_at[list(ends)] = list(ends.values())
@@ -229,6 +230,21 @@ class Vocabulary:
         order = np.argsort(first, kind="stable")
         return words[order], first[order], token[order]
 
+    def longest(self, word: bytes) -> list[int]:
+        """Longest match, again and again, of one long word, which in arrays would hold up all others."""
+        out, at, get, token_at = [], 0, self.edges.get, self.token_at
+        while at < len(word):
+            node, best, stop = 0, -1, at
+            for here in range(at, len(word)):
+                if (child := get(node << 8 | word[here])) is None:
+                    break
+                node = child
+                if token_at[node] >= 0:
+                    best, stop = int(token_at[node]), here + 1
+            out.append(best)
+            at = stop
+        return out
+
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
         """Exact BPE of short words, one merge of each at a time."""
         size = np.array([len(w) for w in words])
@@ -277,23 +293,32 @@ class Vocabulary:
         raw = [w.encode() for w in words]
         out: list[list[int]] = [[]] * len(raw)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        for i in np.flatnonzero(size > SHORT).tolist():
-            out[i] = self.merge(raw[i])
         short = np.flatnonzero((size > 0) & (size <= SHORT))
-        if not len(short):
+        long = np.flatnonzero(size > SHORT)
+        some = np.concatenate([short, long])
+        if not len(some):
             return out
-        flat = np.frombuffer(b"".join(raw[i] for i in short.tolist()), np.uint8).astype(np.int64)
-        end = np.cumsum(size[short])
-        owner, _, token = self.greedy(flat, end - size[short], end)
+        owner, token = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(short):
+            flat = np.frombuffer(b"".join(raw[i] for i in short.tolist()), np.uint8).astype(np.int64)
+            end = np.cumsum(size[short])
+            owner, _, token = self.greedy(flat, end - size[short], end)
+        if len(long):
+            guesses = [self.longest(raw[i]) for i in long.tolist()]
+            owner = np.concatenate([owner, np.repeat(np.arange(len(short), len(some)), list(map(len, guesses)))])
+            token = np.concatenate([token, *guesses])
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(token[inner] << 32 | token[inner + 1], return_inverse=True)
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         broken = np.unique(owner[inner[~good[back]]])
-        cuts = np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
+        cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
         token = token.tolist()
-        for k, i in enumerate(short.tolist()):
+        for k, i in enumerate(some.tolist()):
             out[i] = token[cuts[k] : cuts[k + 1]]
-        again = short[broken].tolist()
+        again = some[broken]
+        for i in again[size[again] > SHORT].tolist():
+            out[i] = self.merge(raw[i])
+        again = again[size[again] <= SHORT].tolist()
         for i, ids in zip(again, self.merge_all([raw[i] for i in again])):
             out[i] = ids
         return out

@@ -111,6 +111,18 @@ def test_bpe(spark, docs, none):
     assert bpe.digests(none, BPE_PATH).count() == 0
 
 
+def test_bpe_guesses_long_words(monkeypatch):
+    t, v = library(), bpe.Vocabulary(BPE_PATH)
+    rng = random.Random(4)
+    words = ["=" * 64, "thoroughness" * 9, "".join(rng.choice("abcdefghij") for _ in range(3000)), "漢字" * 40, "short"]
+    want = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+    broken = []
+    merge = v.merge
+    monkeypatch.setattr(v, "merge", lambda w: broken.append(w) or merge(w))
+    assert v.words(words) == want
+    assert b"=" * 64 not in broken and words[2].encode() in broken
+
+
 def test_token_files(spark, docs, none, tmp_path):
     t = library()
     tokenfile.write(docs, str(tmp_path / "ids"), BPE_PATH)
