@@ -64,8 +64,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
-    return bpe.encode(docs, BPE_PATH)
+    """Documents with their token ids, and the digest of what these decode to."""
+    return bpe.encode(docs, BPE_PATH, decoded=True)
 
 
 STAGES = [

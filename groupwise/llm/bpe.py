@@ -416,10 +416,15 @@ def codec(path: str) -> Codec:
     return Codec(Vocabulary(path))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``, which replace any of these names."""
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """``docs`` with columns ``ids`` (array of int) and ``n_tokens``, which replace any of these names.
+
+    With ``decoded``, also ``decoded_sha256``: the digest of the text that the ids decode to.
+    """
+    made = ("ids", "n_tokens", *(("decoded_sha256",) if decoded else ()))
+    names = [c for c in docs.columns if c not in made]
+    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.StringType())
+    schema = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(c, k) for c, k in zip(made, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -430,7 +435,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 size = np.array([len(x) for x in ids], np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lists, pa.array(size)], names=[*names, "ids", "n_tokens"])
+                back = [pa.array([hashlib.sha256(c.decode(x.tolist()).encode()).hexdigest() for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lists, pa.array(size), *back], names=[*names, *made])
 
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
 

@@ -39,3 +39,10 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert len(of_b) == 1 and of_b[0] in [(1, text("b")), (1, near("b"))]
     want = [(1, text("a")), (2, text("c")), (4, text("d")), (5, ""), (5, text("e")), (None, text("f")), (None, None)]
     assert [r for r in found if r not in of_b] == sorted(want, key=str)
+
+
+def test_encoding_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "Some text, with 漢字 and  spaces\n"), (2, ""), (3, None), (4, "x" * 500)], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["BPE encoding and decoding"](spark, docs, DATA)
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens", "decoded_sha256"]
+    assert got.where("decoded_sha256 <=> sha2(coalesce(text, ''), 256)").count() == 4
