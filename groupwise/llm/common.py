@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -68,13 +69,31 @@ def summed(partials: DataFrame, key: str, value: str, width: int = 16) -> dict:
     return {r[key]: np.frombuffer(r[value]) for r in some.repartition(width, key).mapInPandas(add, partials.schema).collect()}
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table into the shared folder and read it back: compact, with known size, and without lineage.
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared store; those that aren't there are passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder in the shared store for tables that nothing needs afterwards: it goes in the end, also on failure."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        discard(spark, folder)
+
+
+def stored(df: DataFrame, name: str = "table", within: str | None = None) -> DataFrame:
+    """Write a table into the shared folder (or the folder ``within``) and read it back: compact, with known size, and without lineage.
 
     In iterations it takes the place of checkpoint(), whose result keeps the size estimated
     for its plan: a table joined with itself again and again is soon estimated at a number so
     long that multiplying it stops the driver.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{within or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
 #: Steps of pointer jumping in one plan; they cover chains of 2 ** JUMPS ids.
@@ -31,14 +31,20 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every id with a smaller neighbour onto its smallest, contracts, and
     keeps the links between different contracted ids; rounds grow with the logarithm of a
     component's size. Joins are sort-merge by hint: a broadcast side would stay in the
-    driver's memory for each of the many small jobs.
+    driver's memory for each of the many small jobs. Ids may be of any type with an order.
     """
-    links = stored(links.select("a", "b").where("a <> b").distinct())
+    with scratch(links.sparkSession, "components") as folder:
+        return stored(_components(links, folder), "components")
+
+
+def _components(links: DataFrame, folder: str) -> DataFrame:
+    keep = lambda df: stored(df, within=folder)
+    links = keep(links.select("a", "b").where("a <> b").distinct())
     label: DataFrame | None = None
     while label is None or not links.isEmpty():
-        hook = stored(hooks(links))
+        hook = keep(hooks(links))
         while True:
-            hook = stored(_jumped(hook))
+            hook = keep(_jumped(hook))
             on = hook.select(F.col("x").alias("y"))
             if hook.join(on.hint("merge"), "y", "left_semi").isEmpty():
                 break
@@ -46,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             to = fresh.select(F.col("id").alias(end), F.col("component").alias("to"))
             links = links.join(to.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = stored(links.where("a <> b").distinct())
+        links = keep(links.where("a <> b").distinct())
         if label is None:
             label = fresh
         else:
@@ -54,4 +60,4 @@ def components(links: DataFrame) -> DataFrame:
             at = hook.select(F.col("x").alias("component"), F.col("y").alias("next"))
             moved = label.join(at.hint("merge"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
             label = moved.unionByName(fresh)
-    return stored(label)
+    return label

@@ -22,14 +22,17 @@ Buckets propose pairs in rounds: first each set against one leader of each of it
 that is in another component so far, its likeliest leaders verified; after ROUNDS of these, all pairs of
 different components that still share a bucket. A short parity sketch of each set goes with
 it: where two of them differ in more bits than the bound, so do the sets, and the pair goes
-no further. All others are verified exactly on their sets.
+no further. Alike sets share hundreds of buckets, so each set also carries the LEAST least of
+its keys: a pair with some of these in common is made in the first of them and in no other
+bucket (a pair with none, in each). All pairs made are verified exactly on their sets.
 Within a component nothing more is tried, so a group of copies costs a star and not all
 pairs, and every link between components is found.
 
 Defined results: null or wordless text has no shingles and links with nothing; texts of
 fewer words than a shingle have one, their whole sequence; rows with one id each count, and
 null ids are grouped with what they equal (their component is the least id that isn't null,
-else null). Other columns are not read; an empty table gives an empty result.
+else null). A row is known by its id and a 64-bit hash of its text, so that rows with one id,
+or with none, do not meet. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,16 +42,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, scratch, stored
 from .components import components
 
 #: Bytes of text that are hashed together.
-BATCH = 1 << 20
+BATCH = 1 << 18
 #: Shingles counted together in a task, how often one must recur there, and how often in sum to be left out.
 COUNTED = 4_000_000
 RECURS = 3
@@ -60,6 +62,13 @@ ROUNDS = 3
 LEADERS = (1, 3)
 #: 64-bit words of the short sketch by which proposed pairs are tested.
 SHORT = 8
+#: Least keys that a set carries into the last round.
+LEAST = 16
+#: Rows of buckets in an Arrow batch, sets remembered in a task.
+ROWS_OUT = 100_000
+#: Texts taken out of an Arrow batch at a time.
+TEXTS = 200
+SEEN = 500_000
 #: Bits of the filters that keep texts and sets out of a join; their size is fixed, more ids only make them pass more.
 FILTER_BITS = 1 << 20
 #: Bits of one value of Spark's bitmap_construct_agg.
@@ -82,8 +91,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for an ordinary batch are kept."""
+    return tuple(x[:n] for x in _usual_powers(2 * BATCH)) if n <= 2 * BATCH else _count_powers(n)
+
+
+@lru_cache(1)
+def _usual_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _count_powers(n)
+
+
+def _count_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     up, down = np.full(n, _BASE), np.full(n, inverse)
     up[0] = down[0] = 1
@@ -105,7 +123,7 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 def _sets(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
     flat = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(1 << max(16, len(flat).bit_length()))
+    up, down = _powers(len(flat) + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[flat] * up[: len(flat)])])
     space = _IS_SPACE[flat]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
@@ -193,35 +211,63 @@ class Sketches:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def _summary(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sid, hot): a row for each document, and rows with hashes and counts of recurring shingles."""
+class Recurring:
+    """Hashes of many sets, counted COUNTED at a time."""
+
+    def __init__(self):
+        self.held, self.n = np.empty(COUNTED, np.uint64), 0
+
+    def add(self, h: np.ndarray) -> Iterator[bytes]:
+        """Take in a set; what recurred, whenever the room is used up."""
+        while len(h):
+            part, h = h[: COUNTED - self.n], h[COUNTED - self.n :]
+            self.held[self.n : self.n + len(part)] = part
+            self.n += len(part)
+            if self.n == COUNTED:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[bytes]:
+        """Hashes held RECURS times or more, and how often, as int64 pairs."""
+        if not self.n:
+            return
+        h = self.held[: self.n]
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(first, append=self.n)
+        often = times >= RECURS
+        yield np.stack([h[first[often]].view(np.int64), times[often]]).tobytes()
+        self.n = 0
 
-    def recurring(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        h, n = h[n >= RECURS], n[n >= RECURS]
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "sid": pa.array([None], pa.int64()), "hot": pa.array([np.stack([h.view(np.int64), n]).tobytes()], pa.binary())})
+
+SUMMARY = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("hot", pa.binary())])
+
+
+def _summary(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, th, n, sid, hot): a row for each document, and rows with hashes and counts of recurring shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        kept: list[np.ndarray] = []
-        held = 0
+        counted = Recurring()
         for batch in batches:
-            sizes, names = [], []
-            for h in shingle_sets(batch.column(1).to_pylist(), words):
-                sizes.append(len(h))
-                names.append(set_id(h))
-                if len(h) and names[-1] not in seen:
-                    seen.add(names[-1])
-                    kept.append(h)
-                    held += len(h)
-                    if held >= COUNTED:
-                        yield recurring(kept)
-                        kept, held = [], 0
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "sid": pa.array(names, pa.int64()), "hot": pa.array([None] * len(sizes), pa.binary())})
-        if kept:
-            yield recurring(kept)
-
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, hot binary")
+            for at in range(0, batch.num_rows, TEXTS):
+                rows = batch.slice(at, TEXTS)
+                sizes, names, hot = [], [], []
+                for h in shingle_sets(rows.column(1).to_pylist(), words):
+                    sizes.append(len(h))
+                    names.append(set_id(h))
+                    if len(h) and names[-1] not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(names[-1])
+                        hot += counted.add(h)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=SUMMARY)
+                yield from map(told, hot)
+        yield from map(told, counted.flush())
+
+    def told(blob: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"hot": blob}], schema=SUMMARY)
+
+    return docs.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, n long, sid long, hot binary")
 
 
 def _hot(summary: DataFrame) -> np.ndarray:
@@ -239,25 +285,35 @@ def _hot(summary: DataFrame) -> np.ndarray:
 
 
 def _buckets(docs: DataFrame, words: int, sketches: Sketches) -> DataFrame:
-    """(key, sid, n) of every bucket of every set; a task emits a set once."""
+    """(key, sid, n) of every bucket of every set; a task emits a set once (or once in SEEN sets)."""
+
+    def told(found: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        size = [len(k) for k, *_ in found]
+        return pa.RecordBatch.from_pydict({
+            "key": np.concatenate([k for k, *_ in found]).view(np.int64),
+            "sid": np.repeat(np.array([s for _, s, _ in found], np.int64), size),
+            "n": np.repeat(np.array([n for *_, n in found], np.int64), size),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, names, sizes = [], [], []
-            for h in shingle_sets(batch.column(0).to_pylist(), words):
-                sid = set_id(h)
-                if len(h) and sid not in seen:
+            found, held = [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                for h in shingle_sets(batch.column(0).slice(at, TEXTS).to_pylist(), words):
+                    sid = set_id(h)
+                    if not len(h) or sid in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sid)
-                    k = sketches.buckets(h)
-                    keys.append(k.view(np.int64))
-                    names.append(np.full(len(k), sid))
-                    sizes.append(np.full(len(k), len(h)))
-                if sum(map(len, keys[-1:])) and len(keys) >= 200:
-                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "sid": np.concatenate(names), "n": np.concatenate(sizes)})
-                    keys, names, sizes = [], [], []
-            if keys:
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "sid": np.concatenate(names), "n": np.concatenate(sizes)})
+                    found.append((sketches.buckets(h), sid, len(h)))
+                    held += len(found[-1][0])
+                    if held >= ROWS_OUT:
+                        yield told(found)
+                        found, held = [], 0
+            if held:
+                yield told(found)
 
     return docs.select("text").mapInArrow(run, "key long, sid long, n long")
 
@@ -289,49 +345,67 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, h, k0, k1, ..) of the wanted (doc_id, sid): its set and short sketch; more than once where rows repeat."""
+    """(sid, h, k0, k1, ..) of the wanted (sid, rep): its set and short sketch; more than once where rows repeat."""
     schema = pa.schema([("sid", pa.int64()), ("h", pa.list_(pa.int64())), *((f"k{i}", pa.int64()) for i in range(SHORT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(1).to_pylist()
-            for at in range(0, len(asked), 200):
-                sets = list(shingle_sets(batch.column(0).slice(at, 200).to_pylist(), words))
-                good = [(s, h.view(np.int64)) for s, h in zip(asked[at : at + 200], sets) if set_id(h) == s]
+            for at in range(0, len(asked), TEXTS):
+                sets = list(shingle_sets(batch.column(0).slice(at, TEXTS).to_pylist(), words))
+                good = [(s, h.view(np.int64)) for s, h in zip(asked[at : at + TEXTS], sets) if set_id(h) == s]
                 short = np.array([short_sketch(h.view(np.uint64)) for _, h in good], np.int64).reshape(-1, SHORT)
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in good], pa.int64()), pa.array([h for _, h in good], pa.list_(pa.int64())), *map(pa.array, short.T.copy())], schema=schema)
 
-    named = wanted.select(F.col("doc_id").alias("rep"), "sid")
-    near = _filtered(docs, "doc_id", named.select("rep"))
-    rows = near.join(named.hint("merge"), near["doc_id"].eqNullSafe(named["rep"])).select("text", "sid")
+    named = wanted.select("sid", F.col("rep.th").alias("rep_th"), F.col("rep.none").alias("none"), F.col("rep.id").alias("id"))
+    near = _filtered(docs, "th", named.select("rep_th"))
+    same = (near["th"] == named["rep_th"]) & (near["doc_id"].isNull() == named["none"]) & (F.coalesce(near["doc_id"], F.lit(0)) == named["id"])
+    rows = near.join(named.hint("merge"), same).select("text", "sid")
     return rows.mapInArrow(run, "sid long, h array<long>, " + ", ".join(f"k{i} long" for i in range(SHORT)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """The pairs (a, b) that link."""
-    pairs = stored(pairs)
+    pairs = stored(pairs, "pairs", folder)
     left, right = (_filtered(sets, "sid", pairs.select(x)).select(F.col("sid").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
     common = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every document, and (id, component) of sets that link with a lesser one."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = stored(_summary(docs, words))
-    of = summary.where("hot is null").select("doc_id", "n", "sid")
-    sketches = Sketches(percent, _hot(summary))
+def _row() -> Column:
+    """A row as (none, id, th): in order of id, null last, then of its text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "th")
+
+
+def rows_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, th, n_shingles, first): every row, and the first row of its group (itself, where it has no words), each as ``_row``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    with scratch(docs.sparkSession, "jaccard") as folder:
+        summary = stored(_summary(docs, words), "summary", folder)
+        of = summary.where("hot is null").select("doc_id", "th", "n", "sid")
+        reps = stored(of.where("n > 0").groupBy("sid").agg(F.min(_row()).alias("rep")), "reps", folder)
+        found = _linked(docs, _hot(summary), reps, words, percent, folder)
+        named = lambda x: reps.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}")).hint("merge")
+        label = components(found.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        first = reps.join(label.hint("merge"), reps["rep"] == label["id"], "left").select("sid", F.coalesce("component", "rep").alias("first"))
+        # copies share a sid: a hot one is split as a skewed join, and wordless rows, which all have sid 0, take no part
+        full = of.where("n > 0").join(first.hint("merge"), "sid").select("doc_id", "th", F.col("n").alias("n_shingles"), "first")
+        bare = of.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), _row().alias("first"))
+        return stored(full.unionByName(bare), "groups")
+
+
+def _linked(docs: DataFrame, hot: np.ndarray, reps: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect every group."""
+    keep = lambda df, name="table": stored(df, name, folder)
     bucket = Window.partitionBy("key")
-    rows = _buckets(docs, words, sketches)
+    rows = _buckets(docs, words, Sketches(percent, hot))
     least, most = F.min("sid").over(bucket), F.max("sid").over(bucket)
     rows = rows.withColumn("least", least).withColumn("most", most).where("least <> most").select("key", "sid", "n").distinct()
     members = [F.count("sid").over(bucket).alias("m0"), *(F.sum(F.xxhash64(F.lit(k), "sid") % (1 << 40)).over(bucket).alias(f"m{k}") for k in (1, 2))]
-    shared = _one_key_each(stored(rows.select("*", *members), "buckets"))
-    wanted = shared.select("sid").distinct().hint("merge").join(of.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
-    wanted = stored(wanted)
-    sets = stored(_sets_of(docs, wanted, words), "sets")
-    short = stored(sets.groupBy("sid").agg(*(F.first(f"k{i}").alias(f"k{i}") for i in range(SHORT))))
-    sketched = lambda df, of, x: df.join(short.select(F.col("sid").alias(of), *(F.col(f"k{i}").alias(f"k{x}{i}") for i in range(SHORT))).hint("merge"), of)
+    shared = _one_key_each(keep(rows.select("*", *members), "buckets"), folder)
+    wanted = keep(reps.join(shared.select("sid").distinct().hint("merge"), "sid"))
+    sets = keep(_sets_of(docs, wanted, words), "sets")
+    short = keep(sets.groupBy("sid").agg(*(F.first(f"k{i}").alias(f"k{i}") for i in range(SHORT))))
 
     found: DataFrame | None = None
     for turn in range(ROUNDS + 1):
@@ -341,38 +415,58 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame
             label = components(found)
             rows = shared.join(label.hint("merge"), shared["sid"] == label["id"], "left").withColumn("component", F.coalesce("component", "sid")).drop("id")
             mixed = F.min("component").over(bucket) != F.max("component").over(bucket)
-            rows = stored(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
+            rows = keep(rows.withColumn("mixed", mixed).where("mixed").drop("mixed"))
             if rows.isEmpty():
                 break
             shared = rows.select("key", "sid", "n")
-        if turn < ROUNDS:
-            me = F.struct(F.xxhash64(F.lit(turn), "sid").alias("order"), "sid", "n", "component")
-            led = rows.withColumn("first", F.min(me).over(bucket))
-            led = led.withColumn("second", F.min(F.when(F.col("component") != F.col("first.component"), me)).over(bucket))
-            other = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
-            pairs = led.withColumn("other", other).select("sid", F.col("n").alias("na"), F.col("other.sid").alias("lead"), F.col("other.n").alias("nb"))
-            pairs = _near(pairs.distinct(), percent)
-            pairs = sketched(sketched(pairs, "lead", "b"), "sid", "a").withColumn("apart", _apart("a", "b"))
-            pairs = pairs.where(_within("apart", percent)).select("sid", "lead", "apart")
-            best = Window.partitionBy("sid").orderBy("apart", "lead")
-            pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
-            pairs = pairs.select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
-        else:
-            left, right = (sketched(rows.select("key", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")), x, x) for x in "ab")
-            pairs = left.join(right.hint("merge"), "key").where("a > b and ca <> cb")
-            pairs = _near(pairs, percent).where(_within(_apart("a", "b"), percent)).select("a", "b").distinct()
-        new = _verified(pairs, sets, percent)
-        found = stored(new if found is None else found.unionByName(new))
-    return of, components(found)
+        pairs = _led(rows, short, turn, percent) if turn < ROUNDS else _all_pairs(rows, short, percent, keep)
+        new = _verified(pairs, sets, percent, folder)
+        found = keep(new if found is None else found.unionByName(new))
+    return found
+
 
+def _sketched(df: DataFrame, short: DataFrame, of: str, x: str) -> DataFrame:
+    """``df`` with the short sketch k{x}0.. of the set named in column ``of``."""
+    return df.join(short.select(F.col("sid").alias(of), *(F.col(f"k{i}").alias(f"k{x}{i}") for i in range(SHORT))).hint("merge"), of)
 
-def _one_key_each(rows: DataFrame) -> DataFrame:
+
+def _led(rows: DataFrame, short: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a set with its likeliest leaders: of each bucket, the first of another component."""
+    bucket = Window.partitionBy("key")
+    me = F.struct(F.xxhash64(F.lit(turn), "sid").alias("order"), "sid", "n", "component")
+    led = rows.withColumn("first", F.min(me).over(bucket))
+    led = led.withColumn("second", F.min(F.when(F.col("component") != F.col("first.component"), me)).over(bucket))
+    other = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
+    pairs = led.withColumn("other", other).select("sid", F.col("n").alias("na"), F.col("other.sid").alias("lead"), F.col("other.n").alias("nb"))
+    pairs = _near(pairs.distinct(), percent)
+    pairs = _sketched(_sketched(pairs, short, "lead", "b"), short, "sid", "a").withColumn("apart", _apart("a", "b"))
+    pairs = pairs.where(_within("apart", percent)).select("sid", "lead", "apart")
+    best = Window.partitionBy("sid").orderBy("apart", "lead")
+    pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
+    return pairs.select(F.greatest("sid", "lead").alias("a"), F.least("sid", "lead").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame, short: DataFrame, percent: int, keep) -> DataFrame:
+    """All pairs (a, b) of different components that share a bucket and may link, each from one bucket as a rule."""
+    first = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("keys"))
+    rows = keep(rows.join(keep(short.join(first.hint("merge"), "sid")).hint("merge"), "sid"))
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c[0]}{x}{c[1:]}" if c in _K else f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
+    left, right = (df.withColumnsRenamed({f"sid_{x}": x, f"n_{x}": f"n{x}"}) for df, x in ((left, "a"), (right, "b")))
+    met = F.array_min(F.array_intersect("keys_a", "keys_b"))
+    pairs = left.join(right.hint("merge"), "key").where("a > b and component_a <> component_b")
+    return _near(pairs, percent).where(_within(_apart("a", "b"), percent)).where(F.coalesce(met, F.col("key")) == F.col("key")).select("a", "b").distinct()
+
+
+_K = frozenset(f"k{i}" for i in range(SHORT))
+
+
+def _one_key_each(rows: DataFrame, folder: str) -> DataFrame:
     """(key, sid, n) without buckets whose members (their number m0 and sums m1, m2 of their hashes) are those of another bucket.
 
     Members of a family share hundreds of parts, which would propose the same pairs as often.
     """
     kept = rows.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key")
-    return stored(rows.join(kept.hint("merge"), "key", "left_semi").select("key", "sid", "n"), "buckets")
+    return stored(rows.join(kept.hint("merge"), "key", "left_semi").select("key", "sid", "n"), "buckets", folder)
 
 
 def _within(apart: Column | str, percent: int) -> Column:
@@ -386,26 +480,24 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
 
-def set_ids(words: int = 5):
-    """A column of texts as the ids of their sets."""
-
-    @F.pandas_udf("long")
-    def ids(column: pd.Series) -> pd.Series:
-        return pd.Series([set_id(h) for h in shingle_sets([t if isinstance(t, str) else None for t in column], words)], dtype="int64")
-
-    return ids
-
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
+    groups = rows_of_groups(docs, words, percent)
+    return groups.select("doc_id", "n_shingles", F.when(~F.col("first.none"), F.col("first.id")).alias("component_id"))
 
-def near_duplicate_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, sid, n_shingles, component, component_id): as ``near_duplicates``, with the set of each row and that which names its component."""
-    of, label = links(docs, words, percent)
-    named = of.join(label.hint("merge"), of["sid"] == label["id"], "left").select("doc_id", "sid", "n", F.coalesce("component", "sid").alias("component"))
-    full = named.where("n > 0")
-    least = full.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    grouped = full.join(least, full["component"] == least["of"]).select("doc_id", "sid", F.col("n").alias("n_shingles"), "component", "component_id")
-    return grouped.unionByName(named.where("n = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"), "component", F.col("doc_id").alias("component_id")))
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each group, by id (null last) and hash of its text, and every row without words; columns unchanged.
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the least id reachable by links."""
-    return near_duplicate_sets(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+    Rows alike in id and text are one group; of these, one is taken before the shuffle.
+    """
+    first = rows_of_groups(docs, words, percent).where("n_shingles > 0").select("first.*").distinct()
+    first = first.select(F.col("none").alias("first_none"), F.col("id").alias("first_id"), F.col("th").alias("first_th"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keys = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th")]
+    rows = docs.where(worded).select(whole, *keys)
+    turn = F.row_number().over(Window.partitionBy("none", "id", "th").orderBy("th"))
+    rows = rows.withColumn("turn", turn).where("turn = 1")
+    kept = rows.join(first.hint("merge"), (rows["none"] == first["first_none"]) & (rows["id"] == first["first_id"]) & (rows["th"] == first["first_th"]), "left_semi")
+    return kept.select("row.*").unionByName(docs.where(~worded))
