@@ -8,46 +8,36 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.llm import bpe, jaccard, mixing, pii, quality
-from groupwise.llm.common import shared_folder, table
+from groupwise.llm.common import discard, scratch, shared_folder, stored, table
 from groupwise.llm.queries import BPE_PATH
 from groupwise.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of those here, lets pass."""
-    labels = table(spark, sf_dir, "labels")
-    named = labels.select(F.col("doc_id").alias("label_id")).distinct()
-    known = docs.select("doc_id", "text").join(named, docs["doc_id"] == named["label_id"], "left_semi")
-    model = quality.fit(quality.training_rows(quality.text_statistics(known), labels))
-    return docs.where(quality.passing(quality.text_scorer(model)("text")) == 1)
+    """Documents that the classifier, trained on the labels of those here, lets pass.
+
+    A text is scored by its own statistics, so null, empty and repeated rows are judged like
+    any other; statistics of labelled documents, not their texts, meet the labels.
+    """
+    with scratch(spark, "quality") as folder:
+        labels = table(spark, sf_dir, "labels")
+        stats = stored(quality.text_statistics(docs), "stats", folder)
+        train = stored(quality.training_rows(stats, labels), "train", folder)
+        score = quality.text_scorer(quality.fit(train))
+    return docs.where(quality.passing(score("text")) == 1)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the group's least id.
+    """One document of each group: the row with the group's least id and, among its rows, the least hash of text.
 
-    Where an id stands on several rows, each row counts for the group that its own text is in;
-    of those with the least id of one group, the first by hash of the text stays. Rows without
-    words, and rows with null ids in a group that has no other id, are kept.
+    A row counts for the group of its own text also where its id repeats. Groups that have
+    only null ids keep one row as well; rows without words are all kept.
     """
-    groups = jaccard.near_duplicate_sets(docs)
-    least = groups.where("component_id = doc_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(least["kept_id"])).drop("kept_id")
-    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("several_id"))
-    if several.isEmpty():
-        return kept
-    repeated = kept["doc_id"].eqNullSafe(several["several_id"])
-    own = groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("own_id"), "sid", "component").distinct()
-    twice = kept.join(several, repeated, "left_semi").withColumn("set_id", jaccard.set_ids()("text"))
-    twice = twice.join(own, F.expr("doc_id <=> own_id and set_id = sid"))
-    order = Window.partitionBy("doc_id", "component").orderBy(F.xxhash64("text"))
-    first = twice.where("doc_id is not null and sid <> 0").withColumn("turn", F.row_number().over(order)).where("turn = 1")
-    every = twice.where("doc_id is null or sid = 0")
-    once = kept.join(several, repeated, "left_anti")
-    return once.unionByName(first.select(docs.columns)).unionByName(every.select(docs.columns))
+    return jaccard.one_of_each(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            discard(spark, f"{base}/{k - 1}")  # the stage after it has been written
     return STAGES[-1][1](spark, docs, sf_dir)
