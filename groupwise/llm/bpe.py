@@ -23,9 +23,9 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +55,6 @@ def _loose(part: str) -> bool:
     return any(f" {c}" in part or f"{c} " in part for c in _OTHER_SPACE if c in part)
 
 
-
-
 def byte_chars() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -102,9 +100,12 @@ class Table:
 
 
 class Vocabulary:
-    """Tokens, merge ranks and spines of one vocabulary file of the tokenizers library."""
+    """Tokens, merge ranks and spines of one vocabulary file of the tokenizers library.
+
+    With ``merging`` False only what cuts texts and decodes ids is read in.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merging: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars, model = byte_chars(), spec["model"]
@@ -116,12 +117,18 @@ class Vocabulary:
             self.token_bytes[i] = bytes(chars[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        self.pattern = regex.compile(PATTERN)
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        if merging:
+            self._merging(ids, model["merges"], size)
+
+    def _merging(self, ids: dict[str, int], merges: list, size: int) -> None:
         self.ids = {self.token_bytes[i]: i for i in ids.values()}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         rank = np.full(size, -1, np.int64)
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, pair in enumerate(model["merges"]):
+        for r, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             x, y, z = ids[a], ids[b], ids[a + b]
             self.merges[x, y] = (r, z)
@@ -133,8 +140,6 @@ class Vocabulary:
         self.right_spine = self._spine(right, rank)
         self.left_spine = self._spine(left, rank)
         self._trie()
-        self.pattern = regex.compile(PATTERN)
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @staticmethod
     def _spine(child: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -334,29 +339,38 @@ class Codec:
         self.v = vocabulary
         self.solve = solve or vocabulary.words
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # after a space, and as they are
-        self.word_ids: dict[str, list[int]] = {}
-
-    def _chunk_ids(self, chunks: list[str], spaced: bool) -> Iterator[bytes]:
-        """Ids of each chunk, cut into words; letters with one mark behind need no pattern."""
-        if len(self.word_ids) > CACHE:
-            self.word_ids = {}
-        head, known, cut = " " if spaced else "", self.word_ids, []
-        for c in chunks:
-            if c.isalpha():
-                cut.append((head + c,))
-            elif c[-1:] in MARKS and c[:-1].isalpha():
-                cut.append((head + c[:-1], c[-1]))
-            else:
-                cut.append(self.v.pattern.findall(head + c))
-        new = [w for w in {w for ws in cut for w in ws} if w not in known]
-        for w, ids in zip(new, self.solve(new) if new else ()):
-            known[w] = array("I", ids).tobytes()
-        return (known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut)
 
-    def _learn(self, chunks: Iterable[str], spaced: bool) -> None:
-        new = list(chunks)
-        if new:
-            self.known[not spaced].update(zip(new, self._chunk_ids(new, spaced)))
+    def _learn(self, spaced: Iterable[str], plain: Iterable[str]) -> None:
+        """Take in the ids of chunks after a space, and as they are; letters with one mark behind need no pattern.
+
+        A word is a chunk of its own, so the words that chunks are cut into are remembered as such.
+        """
+        after, alone = self.known
+        whole: list[str] = []
+        cuts: list[tuple[dict[str, bytes], str, Sequence[str]]] = []
+        for chunks, head, known in ((spaced, " ", after), (plain, "", alone)):
+            for c in chunks:
+                if c.isalpha():
+                    whole.append(head + c)
+                elif c[-1:] in MARKS and c[:-1].isalpha():
+                    cuts.append((known, c, (head + c[:-1], c[-1])))
+                else:
+                    cuts.append((known, c, self.v.pattern.findall(head + c)))
+        parts = {w for *_, ws in cuts for w in ws}
+        parts.difference_update(whole)
+        new = whole + [w for w in parts if (w[1:] not in after if w[0] == " " else w not in alone)]
+        found = self.solve(new) if new else []
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
+        blob = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        at = 0
+        for w, end in zip(new, ends.tolist()):
+            if w[0] == " ":
+                after[w[1:]] = blob[at:end]
+            else:
+                alone[w] = blob[at:end]
+            at = end
+        for known, c, ws in cuts:
+            known[c] = b"".join([after[w[1:]] if w[0] == " " else alone[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids (little-endian uint32) of each text."""
@@ -379,8 +393,7 @@ class Codec:
                         plan.append(part)
                 plans.append(plan)
             after, alone = self.known
-            self._learn(spaced.difference(after), True)
-            self._learn(plain.difference(alone), False)
+            self._learn(spaced.difference(after), plain.difference(alone))
             for plan in plans:
                 out = []
                 for part in plan:
@@ -461,7 +474,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         names = [str(i) for i in range(len(c.v.token_bytes))]
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             sizes, hashes, back = [], [], []
             for ids in c.encode(batch.column(1).to_pylist()):
                 ids = ids.tolist()

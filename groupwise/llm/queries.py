@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, fingerprint, jaccard, language, mixing, pii, quality, sharding, tokenfile
-from .common import checkpoint, crc_mod, table
+from .common import checkpoint, crc_mod, scratch, stored, table
 
 try:
     import public_tokenizers
@@ -61,9 +61,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokenfile.shared_path(spark, "token-ids")
-    tokenfile.write(table(spark, sf_dir, "documents"), out, BPE_PATH)
-    return tokenfile.digests(spark, out)
+    with scratch(spark, "token-ids") as out:
+        tokenfile.write(table(spark, sf_dir, "documents"), out, BPE_PATH)
+        return stored(tokenfile.digests(spark, out), "digests")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import TEXTS, Codec, Vocabulary
-from .common import shared_folder
 
 BLOCK = 4096
 PERCENTILE = 95
@@ -103,7 +101,7 @@ def library_codec(path: str) -> Codec:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return Codec(Vocabulary(path), lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    return Codec(Vocabulary(path, merging=False), lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:
@@ -115,14 +113,17 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:
             for at in range(0, batch.num_rows, TEXTS):
                 rows = batch.slice(at, TEXTS)
                 ids = list(codec.encode(rows.column(1).to_pylist()))
-                sizes = [len(x) + 1 for x in ids]
-                end = np.array([end_id], np.uint32)
-                flat = np.concatenate([x for one in ids for x in (one, end)])
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "base": [base], "n_ids": [len(flat)], "doc_ids": pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), "sizes": [sizes], "ids": pa.array([pack_ids(flat)], pa.binary())})
+                sizes = np.array([len(x) + 1 for x in ids], np.int64)
+                flat = np.full(sizes.sum(), end_id, np.uint32)
+                real = np.ones(len(flat), bool)
+                real[np.cumsum(sizes) - 1] = False
+                flat[real] = np.concatenate(ids)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "base": [base], "n_ids": [len(flat)], "doc_ids": pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([pack_ids(flat)], pa.binary())})
                 base += len(flat)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    # the hash is part of the ranges, so that rows of one id, or of none, are many tasks' work
+    ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
     ordered.select("doc_id", "text").mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(out)
 
 
@@ -131,12 +132,15 @@ def _documents(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack_ids(row["ids"]).astype("<u4")
-                ends = np.cumsum(row["sizes"])
-                starts = ends - row["sizes"]
-                blobs = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(ends), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "local": pa.array(starts + row["base"], pa.int64()), "n_tokens": pa.array(row["sizes"], pa.int64()), "ids": pa.array(blobs, pa.binary())})
+            for k in range(batch.num_rows):
+                part, base, _, doc_ids, sizes, blob = (batch.column(c)[k] for c in range(6))
+                ids = unpack_ids(blob.as_buffer()).astype("<u4")
+                sizes = sizes.values
+                size = sizes.to_numpy(zero_copy_only=False)
+                ends = np.cumsum(size)
+                cut = pa.array(np.concatenate([[0], ends * 4]).astype(np.int32)).buffers()[1]
+                blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, cut, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(ends), part.as_py(), np.int32)), "doc_id": doc_ids.values, "local": pa.array(ends - size + base.as_py()), "n_tokens": sizes, "ids": blobs})
 
     return segments.mapInArrow(run, "part int, doc_id long, local long, n_tokens long, ids binary")
 
@@ -150,17 +154,12 @@ def _started(docs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, source: str) -> DataFrame:
     """(doc_id, n_tokens, ids, start) of every document in the files in ``source``; ids as little-endian u32."""
-    segments = spark.read.parquet(source)
+    segments = spark.read.schema(SEGMENT).parquet(source)
     return _started(_documents(segments), segments)
 
 
 def digests(spark: SparkSession, source: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files in ``source``; digests move between tasks, ids don't."""
-    segments = spark.read.parquet(source)
+    segments = spark.read.schema(SEGMENT).parquet(source)
     hashed = _documents(segments).select("part", "doc_id", "local", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return _started(hashed, segments).select("doc_id", "start", "n_tokens", "ids_crc32")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
