@@ -4,12 +4,14 @@ The kernel of two texts is the number of character n-grams (1 to N, lower case,
 BINS bins) that both contain, over the root of the product of their counts: the blended
 spectrum by presence. LANDMARKS texts of each language span the Nyström features of every
 text; one-versus-rest kernel ridge regression over them is fit from sums of partitions, on
-at most about ROWS texts of each language, those with the least hash of their id. Scores
-are products of a batch's presence matrix with the landmarks'.
+at most ROWS different texts of each language, those with the least hash of id and text.
+Scores are products of a batch's presence matrix with the landmarks'. Presence says little
+of a very long text, so features are the mean over its pieces of PIECE characters.
 
 Defined results: null text, or text without a letter, is ``und`` with score 1; with no
 labelled text at all every other text is ``und`` with score 0; ties go to the language
-first by code point. Other columns are not read.
+first by code point; null and repeated ids are drawn by their texts, and a text that a
+language has under one id many times is drawn once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import summed
@@ -30,6 +32,7 @@ ROWS = 1500
 RIDGE = 0.3
 SHARP = 6.0
 TEXTS = 128
+PIECE = 8192
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -60,9 +63,14 @@ class Kernel:
         self.root = vector[:, good] / np.sqrt(value[good])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        p = presence(texts)
-        k = p[:, self.used] @ self.marks / np.outer(np.sqrt(np.maximum(1, p.sum(1))), self.size)
-        return np.hstack([np.ones((len(texts), 1)), k @ self.root])
+        owner = np.repeat(np.arange(len(texts)), [max(1, -(-len(t) // PIECE)) for t in texts])
+        pieces = [t[at : at + PIECE] for t in texts for at in range(0, max(1, len(t)), PIECE)]
+        sums = np.zeros((len(texts), self.root.shape[1]))
+        for at in range(0, len(pieces), TEXTS):
+            p = presence(pieces[at : at + TEXTS])
+            k = p[:, self.used] @ self.marks / np.outer(np.sqrt(np.maximum(1, p.sum(1))), self.size)
+            np.add.at(sums, owner[at : at + TEXTS], k @ self.root)
+        return np.hstack([np.ones((len(texts), 1)), sums / np.bincount(owner, minlength=len(texts))[:, None]])
 
 
 class Model:
@@ -90,19 +98,23 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """From (doc_id, text, lang); rows with null text or lang teach nothing."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not counts:
         return Model(None, [], np.zeros((0, 0)))
     languages = sorted(counts)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)
 
-    def drawn(most: int):
+    def drawn(most: int) -> DataFrame:
+        """Texts with the least hashes of each language, ``most`` of them; the first filter leaves about twice as many."""
         keep = F.lit(False)
         for lang, n in counts.items():
-            keep = F.when(F.col("lang") == lang, share < most / n).otherwise(keep)
-        return rows.where(keep)
+            keep = F.when(F.col("lang") == lang, share < 2 * (most + 20) / n).otherwise(keep)
+        turn = F.row_number().over(Window.partitionBy("lang").orderBy("share", "hash"))
+        some = rows.where(keep).withColumn("share", share).dropDuplicates(["lang", "hash"])
+        return some.withColumn("turn", turn).where(F.col("turn") <= most).select("hash", "text", "lang")
 
-    marks = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in drawn(LANDMARKS).collect())
+    marks = sorted((r["lang"], r["hash"], r["text"]) for r in drawn(LANDMARKS).collect())
     if not marks:
         return Model(None, [], np.zeros((0, 0)))
     kernel = Kernel([t for *_, t in marks])
