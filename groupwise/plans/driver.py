@@ -111,7 +111,7 @@ def null_safe_left_join(spark, sf_dir):
 
 _BANDS = """
     bands AS (SELECT user_id AS band_user, band, band * 25.0 AS top, band * 25.0 + 25.0 AS base
-              FROM (SELECT DISTINCT user_id FROM events), range(0, 4) r(band) WHERE (user_id + band) % 3 <> 0)"""
+              FROM (SELECT DISTINCT user_id FROM events), range(0, 4) r(band))"""
 
 
 @query(f"""
@@ -119,7 +119,7 @@ _BANDS = """
     SELECT event_id, CAST(band AS BIGINT) AS band FROM events JOIN bands ON user_id = band_user AND value >= top AND value < base""")
 def depth_band_join(spark, sf_dir):
     events = t(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    bands = events.select(F.col("user_id").alias("band_user")).distinct().withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).where("(band_user + band) % 3 <> 0")
+    bands = events.select(F.col("user_id").alias("band_user")).distinct().withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     bands = bands.withColumn("top", F.col("band") * 25.0).withColumn("base", F.col("top") + 25.0)
     return relational.band_join(events, bands, [("user_id", "band_user")], "value", "top", "base").select("event_id", "band")
 
@@ -243,14 +243,16 @@ def latest_per_key(spark, sf_dir):
     return relational.latest_per_key(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
 
 
-_SLICES = "(SELECT p_partkey, p_brand, p_size, 1 AS ver FROM part WHERE p_partkey <= 600 UNION ALL SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END, 2 FROM part WHERE p_partkey > 400 AND p_partkey <= 1000)"
+#: Two versions of the whole of ``part``: in the second, a third of the keys is other, and a fifth of the sizes.
+_SLICES = """(
+    SELECT p_partkey, p_brand, p_size, 1 AS ver FROM part
+    UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END, 2 FROM part)"""
 
 
 def _slices(spark, sf_dir):
     part = t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    one = part.where("p_partkey <= 600").withColumn("ver", F.lit(1))
-    two = part.where("p_partkey > 400 and p_partkey <= 1000").withColumn("p_size", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).withColumn("ver", F.lit(2))
-    return one, two
+    two = part.withColumns({"p_partkey": F.expr("if(p_partkey % 3 = 0, -p_partkey, p_partkey)"), "p_size": F.expr("if(p_partkey % 5 = 0, p_size + 1, p_size)")})
+    return part.withColumn("ver", F.lit(1)), two.withColumn("ver", F.lit(2))
 
 
 @query(f"SELECT DISTINCT ON (p_partkey) p_partkey, p_size FROM {_SLICES} ORDER BY p_partkey, ver")
@@ -321,17 +323,18 @@ def limit_offset_page(spark, sf_dir):
 
 # -- diff and merge -------------------------------------------------------------------------
 
+#: Two versions of the whole of ``supplier``: some keys are only in one of them, some cells differ.
 _VERSIONS = """
-    a AS (SELECT s_suppkey, s_name, s_acctbal AS bal FROM supplier WHERE s_suppkey % 7 <> 0),
-    b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name || ' x' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS bal
-          FROM supplier WHERE s_suppkey % 11 <> 0)"""
+    a AS (SELECT CASE WHEN s_suppkey % 7 = 0 THEN -s_suppkey ELSE s_suppkey END AS s_suppkey, s_name, s_acctbal AS bal FROM supplier),
+    b AS (SELECT CASE WHEN s_suppkey % 11 = 0 THEN -s_suppkey ELSE s_suppkey END AS s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name || ' x' ELSE s_name END AS s_name,
+          CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS bal FROM supplier)"""
 
 
 def _versions(spark, sf_dir):
     s = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("bal"))
-    a = s.where("s_suppkey % 7 <> 0")
-    b = s.where("s_suppkey % 11 <> 0").withColumns({"s_name": F.expr("if(s_suppkey % 5 = 0, s_name || ' x', s_name)"), "bal": F.expr("if(s_suppkey % 4 = 0, bal + 1, bal)")})
-    return a, b
+    a = s.withColumn("s_suppkey", F.expr("if(s_suppkey % 7 = 0, -s_suppkey, s_suppkey)"))
+    other = {"s_name": "if(s_suppkey % 5 = 0, s_name || ' x', s_name)", "bal": "if(s_suppkey % 4 = 0, bal + 1, bal)", "s_suppkey": "if(s_suppkey % 11 = 0, -s_suppkey, s_suppkey)"}
+    return a, s.withColumns({c: F.expr(e) for c, e in other.items()})
 
 
 @query(f"""
@@ -352,16 +355,16 @@ def diff_cells(spark, sf_dir):
 
 
 _THREE = """
-    v AS (SELECT 0 AS f, s_suppkey AS k, s_name AS name, s_acctbal AS bal, NULL AS note FROM supplier WHERE s_suppkey % 3 <> 0
-          UNION ALL SELECT 1, s_suppkey, s_name || '*', NULL, CASE WHEN s_suppkey % 2 = 0 THEN 'n' END FROM supplier WHERE s_suppkey % 4 <> 0
-          UNION ALL SELECT 2, s_suppkey, NULL, s_acctbal * 2, NULL FROM supplier WHERE s_suppkey % 5 = 0)"""
+    v AS (SELECT 0 AS f, CASE WHEN s_suppkey % 3 = 0 THEN -s_suppkey ELSE s_suppkey END AS k, s_name AS name, s_acctbal AS bal, NULL AS note FROM supplier
+          UNION ALL SELECT 1, CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey END, s_name || '*', NULL, CASE WHEN s_suppkey % 2 = 0 THEN 'n' END FROM supplier
+          UNION ALL SELECT 2, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey ELSE -s_suppkey END, NULL, s_acctbal * 2, NULL FROM supplier)"""
 
 
 def _three(spark, sf_dir):
     s = t(spark, sf_dir, "supplier")
-    one = s.where("s_suppkey % 3 <> 0").selectExpr("s_suppkey k", "s_name name", "s_acctbal bal")
-    two = s.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey k", "s_name || '*' name", "if(s_suppkey % 2 = 0, 'n', null) note")
-    three = s.where("s_suppkey % 5 = 0").selectExpr("s_suppkey k", "s_acctbal * 2 bal")
+    one = s.selectExpr("if(s_suppkey % 3 = 0, -s_suppkey, s_suppkey) k", "s_name name", "s_acctbal bal")
+    two = s.selectExpr("if(s_suppkey % 4 = 0, -s_suppkey, s_suppkey) k", "s_name || '*' name", "if(s_suppkey % 2 = 0, 'n', null) note")
+    three = s.selectExpr("if(s_suppkey % 5 = 0, s_suppkey, -s_suppkey) k", "s_acctbal * 2 bal")
     return [one, two, three]
 
 

@@ -43,7 +43,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", ["distinct_on_key", "distinct_on_value", "except_both_ways", "intersect_rows"])
 def test_slices_that_overlap_match_sql(spark, name):
-    """At sf0.001 the second slice of ``part`` is empty; at sf0.01 the two share 200 parts."""
+    """The same at a larger size."""
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
