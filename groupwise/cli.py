@@ -1,9 +1,8 @@
-"""Command line: validate, read, fix, diff, merge, certify, pack, unpack, lock, unlock, excel."""
+"""Command line: validate, read, fix, diff, merge, certify, pack, unpack, excel."""
 
 from __future__ import annotations
 
 import argparse
-import getpass
 import json
 import sys
 
@@ -15,8 +14,8 @@ from .sources import delivery
 from .sources.dictionary import Dictionary
 from .sources.lexer import DeliveryError
 
-#: Exit codes: fine, findings, usage, unreadable, changed content, locked.
-OK, FINDINGS, USAGE, UNREADABLE, STALE, LOCKED = 0, 1, 3, 4, 5, 6
+#: Fixed values, exit codes: fine, findings, usage, unreadable, changed content.
+OK, FINDINGS, USAGE, UNREADABLE, STALE = 0, 1, 3, 4, 5
 
 
 def _bytes(path: str) -> bytes:
@@ -26,7 +25,7 @@ def _bytes(path: str) -> bytes:
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="groupwise")
-    p.add_argument("verb", choices=["validate", "read", "fix", "diff", "merge", "certify", "pack", "unpack", "lock", "unlock", "excel"])
+    p.add_argument("verb", choices=["validate", "read", "fix", "diff", "merge", "certify", "pack", "unpack", "excel"])
     p.add_argument("files", nargs="+")
     p.add_argument("--dictionary")
     p.add_argument("--group")
@@ -36,14 +35,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--missing-tran", default="reconcile", choices=merge_files.MISSING_TRAN)
     a = p.parse_args(args)
     out = a.out or a.files[0] + ".out"
-    if a.verb in ("pack", "unpack", "lock", "unlock"):
+    if a.verb in ("pack", "unpack"):
         try:
-            word = getpass.getpass() if a.verb.endswith("lock") else ""
-            raw = _bytes(a.files[0])
-            made = {"pack": lambda: transfer.pack(raw), "unpack": lambda: transfer.unpack(raw), "lock": lambda: transfer.lock(raw, word), "unlock": lambda: transfer.unlock(raw, word)}[a.verb]()
+            made = (transfer.pack if a.verb == "pack" else transfer.unpack)(_bytes(a.files[0]))
         except DeliveryError as e:
             print(e, file=sys.stderr)
-            return LOCKED
+            return UNREADABLE
         with open(out, "wb") as f:
             f.write(made)
         return OK

@@ -7,9 +7,9 @@ is not, so it is a pandas UDF.
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -140,27 +140,42 @@ def _json_text(c: Column) -> Column:
     return F.when(c.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
+#: Exact sums of powers of two need this many digits at most.
+_EXACT = Context(prec=1200, rounding=ROUND_HALF_EVEN)
+
+
+def _at_place(x: float, place: int, how: str = ROUND_HALF_EVEN) -> Decimal:
+    """``x``, exactly, rounded to the decimal place 10 ** place."""
+    return Decimal(x).quantize(Decimal((0, (1,), place)), rounding=how, context=_EXACT)
+
+
 def format_ndp(x: float, n: int) -> str:
     """n decimals, half to even on the exact value."""
-    return f"{x:.{min(n, MOST_DIGITS)}f}"
+    return format(_at_place(x, -min(n, MOST_DIGITS)), "f")
 
 
 def format_nsf(x: float, n: int) -> str:
-    """n significant figures; the exponent is that of the rounded value."""
+    """n significant figures as a plain decimal; whole tens and up are rounded half away from zero."""
     n = min(n, MOST_DIGITS)
-    if x == 0:
-        return f"{0.0:.{max(0, n - 1)}f}"
-    power = int(f"{x:.{n - 1}e}".split("e")[1]) if n else math.floor(math.log10(abs(x)))
-    if n - power - 1 >= 0:
-        return f"{x:.{n - power - 1}f}"
-    scale = 10.0 ** (power + 1 - n)
-    return f"{math.copysign(math.floor(abs(x) / scale + 0.5), x) * scale:.0f}"
+    exact = Decimal(x)
+    if not exact:
+        return "0." + "0" * (n - 1) if n > 1 else "0"
+    last = exact.adjusted() - n + 1  # the place of the last figure
+    rounded = _at_place(x, last)
+    last += rounded.adjusted() - exact.adjusted()  # 9.99 may round to 10.0, which has one place less
+    if last <= 0:
+        return format(_at_place(x, last), "f")
+    return format(_at_place(x, last, ROUND_HALF_UP), "f")
 
 
 def format_nsci(x: float, n: int) -> str:
-    """n decimals of the mantissa, lower-case e, exponent without padding; a point even where n is 0."""
-    head, tail = f"{x:.{min(n, MOST_DIGITS)}e}".split("e")
-    return f"{head}{'' if '.' in head else '.'}e{int(tail)}"
+    """One digit, a point, n decimals, a lower-case e, and the exponent without padding."""
+    n = min(n, MOST_DIGITS)
+    exact = Decimal(x)
+    sign, digits, power = _at_place(x, exact.adjusted() - n).as_tuple() if exact else (Decimal(x).as_tuple().sign, (0,) * (n + 1), -n)
+    figures = "".join(map(str, digits)).ljust(n + 1, "0")
+    power += len(digits) - 1
+    return f"{'-' if sign else ''}{figures[0]}.{figures[1 : n + 1]}e{power}"
 
 
 def formatter(code: str) -> Callable[[float], str] | None:
@@ -203,7 +218,8 @@ def quoted(c: Column) -> Column:
 
 
 def is_ndp(c: Column, n: int) -> Column:
-    return c.rlike(r"^-?[0-9]+\z" if n == 0 else rf"^-?[0-9]+\.[0-9]{{{n}}}\z")
+    """-?digits.digits with n decimals; without decimals the point may stay."""
+    return c.rlike(r"^-?[0-9]+\.?\z" if n == 0 else rf"^-?[0-9]+\.[0-9]{{{n}}}\z")
 
 
 def is_nsci(c: Column, n: int) -> Column:
@@ -211,11 +227,17 @@ def is_nsci(c: Column, n: int) -> Column:
 
 
 def is_dms(c: Column) -> Column:
-    return c.rlike(r"^-?[0-9]{1,3}:[0-5][0-9]:[0-5][0-9](\.[0-9]+)?\z")
+    """Degrees, minutes, seconds; a point, with decimals or without, may follow."""
+    return c.rlike(r"^-?[0-9]+:[0-5][0-9]:[0-5][0-9](\.[0-9]*)?\z")
 
 
-def is_elapsed(c: Column) -> Column:
-    return c.rlike(r"^[0-9]+:[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?\z")
+def is_elapsed(c: Column, unit: Column | None = None) -> Column:
+    """Elapsed time by its unit: hh:mm (two hour digits at least), mm:ss, else hours, minutes and seconds."""
+    full = c.rlike(r"^[0-9]+:[0-5][0-9]:[0-5][0-9]\z")
+    if unit is None:
+        return full
+    by_unit = F.when(F.trim(unit) == "hh:mm", c.rlike(r"^[0-9]{2,}:[0-5][0-9]\z")).when(F.trim(unit) == "mm:ss", c.rlike(r"^[0-5][0-9]:[0-5][0-9]\z"))
+    return by_unit.otherwise(full)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -232,15 +254,29 @@ def edit_distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-def close_matches(value: str, known: list[str], most: int = 3) -> list[str]:
-    """Known codes near a value: by case, then by separators, then by edit distance for longer ones."""
-    bare = lambda s: re.sub(r"[\s_/.-]+", "", s).upper()
-    ranked = []
-    for k in known:
-        if k.upper() == value.upper():
-            ranked.append((0, 0, k))
-        elif bare(k) == bare(value):
-            ranked.append((1, 0, k))
-        elif len(value) >= 4 and (d := edit_distance(value.upper(), k.upper())) <= (1 if len(value) < 8 else 2):
-            ranked.append((2, d, k))
-    return [k for *_, k in sorted(ranked)[:most]]
+#: Characters that codes are written with or without, and most suggestions of a hint.
+SEPARATORS = "-_./"
+MOST_HINTS = 3
+_BARE = str.maketrans("", "", SEPARATORS)
+
+
+def close_matches(value: str, known: Iterable[str], most: int = MOST_HINTS) -> list[str]:
+    """Other codes near a value, nearest first: alike but for case, then for separators, then within few edits.
+
+    One edit is allowed where the longer code has up to six characters, else two; codes of
+    fewer than four characters are never matched by edits.
+    """
+    low = value.lower()
+
+    def rank(code: str) -> tuple[int, int] | None:
+        other = code.lower()
+        if other == low:
+            return 1, 0
+        edits = edit_distance(low, other)
+        if (bare := low.translate(_BARE)) and bare == other.translate(_BARE):
+            return 2, edits
+        short, long = sorted((len(value), len(code)))
+        return (3, edits) if short >= 4 and edits <= (1 if long <= 6 else 2) else None
+
+    near = {code: r for code in known if code != value and (r := rank(code))}
+    return sorted(near, key=lambda code: (near[code], code))[:most]

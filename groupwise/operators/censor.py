@@ -8,11 +8,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+TOKEN = "REDACTED"
+
+
+def _literal(text: str) -> str:
+    """A replacement that stands for itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
 
 def _ranked(firsts: DataFrame, order: Sequence[str], buckets: int = 64) -> DataFrame:
     """``firsts`` with ``rank`` from 1 in ``order``, without one task sorting everything: ranges are counted, then offset."""
-    dealt = firsts.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    # the parts must be the same in both uses
+    # ranges rest on a sample, so both uses must read one and the same deal
+    dealt = cut(firsts.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     inner = dealt.withColumn("_turn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = inner.groupBy(F.col("_part").alias("_of")).agg(F.max("_turn").alias("_n"))
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,15 +37,15 @@ def pseudonyms(df: DataFrame, column: str, order: str, prefix: str, width: int =
     return ranked.select(column, "first", F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)).alias("pseudonym"))
 
 
-def strip_brackets(c: Column) -> Column:
-    """Text in round or square brackets, brackets included, taken out."""
-    return F.regexp_replace(c, r"\([^()]*\)|\[[^\[\]]*\]", "")
+def strip_brackets(c: Column, token: str = TOKEN) -> Column:
+    """What stands in square brackets replaced by the token; blank and unclosed ones stay as they are."""
+    return F.regexp_replace(c, r"(?U)\[(?=[^\]]*[^\]\s])[^\]]*\]", _literal(f"[{token}]"))
 
 
-def redact_keywords(c: Column, keywords: Sequence[str], token: str = "[REDACTED]") -> Column:
+def redact_keywords(c: Column, keywords: Sequence[str], token: str = f"[{TOKEN}]") -> Column:
     """Keywords replaced, case of A to Z aside; longer ones first."""
     for k in sorted(keywords, key=len, reverse=True):
-        c = F.regexp_replace(c, f"(?i)\\Q{k}\\E", token)
+        c = F.regexp_replace(c, f"(?i)\\Q{k}\\E", _literal(token))
     return c
 
 
@@ -56,7 +65,7 @@ def censor(df: DataFrame, policy: Mapping[str, str], order: str, file_id: str =
         elif action == "blank":
             out = out.withColumn(column, F.lit(""))
         elif action == "token":
-            out = out.withColumn(column, F.when(full, F.lit("[REDACTED]")).otherwise(c))
+            out = out.withColumn(column, F.when(full, F.lit(f"[{TOKEN}]")).otherwise(c))
         elif action == "brackets":
             out = out.withColumn(column, strip_brackets(c))
         else:

@@ -216,11 +216,11 @@ def cell_types(c: Check) -> list[DataFrame]:
     t = F.upper(F.trim("type"))
     cells = c.cells().withColumn("t", t).where(~F.col("t").isin(*FREE_TYPES))
     n = F.regexp_extract("t", "^([0-9]+)(DP|SCI)$", 1)
-    decimals = F.when(n == "0", F.col("value").rlike("^-?[0-9]+\\z")).otherwise(F.col("value").rlike("^-?[0-9]+\\.[0-9]+\\z") & (F.length(F.substring_index("value", ".", -1)) == n.try_cast("int")))
+    decimals = F.when(n == "0", F.col("value").rlike("^-?[0-9]+\\.?\\z")).otherwise(F.col("value").rlike("^-?[0-9]+\\.[0-9]+\\z") & (F.length(F.substring_index("value", ".", -1)) == n.try_cast("int")))
     science = F.col("value").rlike("^-?[0-9]\\.[0-9]*[eE][+-]?[0-9]+\\z") & (F.length(F.regexp_extract("value", "\\.([0-9]*)", 1)) == n.try_cast("int"))
     fits = (
         F.when(F.col("t").rlike("^[0-9]+DP\\z"), decimals).when(F.col("t").rlike("^[0-9]+SCI\\z"), science)
-        .when(F.col("t") == "YN", F.upper(F.trim("value")).isin("Y", "N")).when(F.col("t") == "DMS", values.is_dms(F.col("value"))).when(F.col("t") == "T", values.is_elapsed(F.col("value")))
+        .when(F.col("t") == "YN", F.upper(F.trim("value")).isin("Y", "N")).when(F.col("t") == "DMS", values.is_dms(F.col("value"))).when(F.col("t") == "T", values.is_elapsed(F.col("value"), F.col("unit")))
     )
     plain = cells.where(~F.col("t").rlike("^[0-9]+SF\\z") & (F.col("t") != "DT")).where(~F.coalesce(fits, F.lit(True)))
     hard = cells.where(F.col("t").rlike("^[0-9]+SF\\z") | (F.col("t") == "DT"))
@@ -311,11 +311,12 @@ def _tran(c: Check, heading: str) -> DataFrame:
 @rule("11")
 def links(c: Check) -> list[DataFrame]:
     out = [found(_tran(c, h).where("value = ''"), r, f"{h} is blank", group=F.lit("TRAN")) for r, h in (("11a", "TRAN_DLIM"), ("11b", "TRAN_RCON"))]
-    delimiter = _tran(c, "TRAN_DLIM").select("file", F.when(F.col("value") == "", "|").otherwise(F.col("value")).alias("dlim"))
-    joiner = _tran(c, "TRAN_RCON").select("file", F.when(F.col("value") == "", "+").otherwise(F.col("value")).alias("rcon"))
-    cells = c.cells().where("upper(trim(type)) = 'RL'").join(delimiter, "file", "left").join(joiner, "file", "left")
-    quote = lambda x, d: F.concat(F.lit("\\Q"), F.coalesce(F.col(x), F.lit(d)), F.lit("\\E"))
-    one = cells.withColumn("link", F.explode(F.split("value", quote("rcon", "+")))).withColumn("parts", F.split("link", quote("dlim", "|")))
+    # links of files that don't say how these are written can't be read
+    delimiter = _tran(c, "TRAN_DLIM").where("value <> ''").select("file", F.col("value").alias("dlim"))
+    joiner = _tran(c, "TRAN_RCON").where("value <> ''").select("file", F.col("value").alias("rcon"))
+    cells = c.cells().where("upper(trim(type)) = 'RL'").join(delimiter, "file").join(joiner, "file")
+    quote = lambda x: F.concat(F.lit("\\Q"), F.col(x), F.lit("\\E"))
+    one = cells.withColumn("link", F.explode(F.split("value", quote("rcon")))).withColumn("parts", F.split("link", quote("dlim")))
     wanted = one.select("file", "line", "group", "link", F.trim(F.col("parts")[0]).alias("target"), F.slice("parts", 2, 1000).alias("key")).withColumn("k", F.size("key"))
     lengths = wanted.select("file", "target", "k").distinct()
     rows = c.data.select("file", F.col("group").alias("target"), "values").join(lengths, ["file", "target"]).where("k > 0")

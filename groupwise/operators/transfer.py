@@ -1,12 +1,10 @@
-"""Packing, locking, certificates, and coordinates."""
+"""Packing, certificates, and coordinates."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
 import math
-import os
 from collections.abc import Mapping
 
 import numpy as np
@@ -23,11 +21,6 @@ try:
 except ImportError:
     zstandard = None
 
-#: Cost of the passphrase hash.
-SCRYPT = {"n": 1 << 14, "r": 8, "p": 1, "dklen": 64}
-MAGIC = b"GWL1"
-
-
 def pack(raw: bytes, level: int = 9) -> bytes:
     if zstandard is None:
         raise RuntimeError("zstandard is not installed")
@@ -44,27 +37,6 @@ def unpack(raw: bytes, most: int = 1 << 32) -> bytes:
     return out
 
 
-def _stream(key: bytes, n: int) -> bytes:
-    blocks = (n + 63) // 64
-    return b"".join(hashlib.blake2b(i.to_bytes(8, "little"), key=key).digest() for i in range(blocks))[:n]
-
-
-def lock(raw: bytes, passphrase: str) -> bytes:
-    """Encrypted and authenticated under a passphrase, in a format of this package alone (no library for a public one is at hand)."""
-    salt = os.urandom(16)
-    keys = hashlib.scrypt(passphrase.encode(), salt=salt, **SCRYPT)
-    body = bytes(a ^ b for a, b in zip(raw, _stream(keys[:32], len(raw))))
-    return MAGIC + salt + hmac.digest(keys[32:], salt + body, "sha256") + body
-
-
-def unlock(raw: bytes, passphrase: str) -> bytes:
-    salt, tag, body = raw[4:20], raw[20:52], raw[52:]
-    keys = hashlib.scrypt(passphrase.encode(), salt=salt, **SCRYPT)
-    if raw[:4] != MAGIC or not hmac.compare_digest(tag, hmac.digest(keys[32:], salt + body, "sha256")):
-        raise lexer.DeliveryError("Locked", "wrong passphrase or damaged file")
-    return bytes(a ^ b for a, b in zip(body, _stream(keys[:32], len(body))))
-
-
 def certificate(raw: bytes, counts: Mapping[str, int], edition: str, options: Mapping[str, object] | None = None) -> dict:
     """What a check found and of which bytes: hash, size, sections, tier counts, engine."""
     sections = [{"group": g, "start": a, "end": b} for g, a, b in lexer.byte_index(raw)]

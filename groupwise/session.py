@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder that the cluster names, or cached where there is none."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df.persist()
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

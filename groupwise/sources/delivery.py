@@ -1,18 +1,21 @@
 """Deliveries of grouped text as DataFrames.
 
 One file is one task (quotes span lines), many files are many tasks. ``scan`` gives every
-record of every file as a row; a group is typed by the file's own HEADING, UNIT and TYPE
-records, which are few and read on the driver, and its cells are columns over an array, so
-unused ones, ids included, are pruned.
+record of every file as a row. A group is typed by its HEADING, UNIT and TYPE records; the
+different ones of all files are few and read on the driver. Where all files and sections
+have a group's headings in one order, its cells are columns over an array by place; where
+they differ, each row meets the headings of its own section and cells are found by name.
+Either way unused cells, ids included, are pruned.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -38,8 +41,15 @@ def _rows_of(file: str, raw: bytes, encoding: str, errors: str) -> pd.DataFrame:
     return pd.DataFrame(_tuples(file, raw, encoding, errors), columns=names).astype({"data_row": "Int32"})
 
 
-def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", errors: str = "strict", glob: str | None = None) -> DataFrame:
-    """Every record that isn't blank of the files under ``path``."""
+def _refused(file: str, why: lexer.DeliveryError) -> pd.DataFrame:
+    """The one row of a file that can't be read: tag ERROR, its values the kind and the message."""
+    names = [c.strip(" `").split(" ")[0].strip("`") for c in ROWS.split(",")]
+    row = dict.fromkeys(names) | {"file": file, "rec": 0, "line": 0, "byte_offset": 0, "section": 0, "text": "", "terminator": "", "tag": "ERROR", "values": [why.kind, str(why)]}
+    return pd.DataFrame([row], columns=names).astype({"data_row": "Int32"})
+
+
+def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", errors: str = "strict", glob: str | None = None, check: bool = False) -> DataFrame:
+    """Every record that isn't blank of the files under ``path``; with ``check``, an ERROR row for each file that can't be read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -47,7 +57,14 @@ def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, raw in zip(pdf["path"], pdf["content"]):
-                yield _rows_of(file, bytes(raw), encoding, errors)
+                try:
+                    if check:
+                        lexer.check_readable(lexer.decode(bytes(raw), encoding, errors)[0])
+                    yield _rows_of(file, bytes(raw), encoding, errors)
+                except lexer.DeliveryError as e:
+                    if not check:
+                        raise
+                    yield _refused(file, e)
 
     return reader.load(path if isinstance(path, str) else list(path)).select("path", "content").mapInPandas(run, ROWS)
 
@@ -69,25 +86,59 @@ def _padded(found: list[str], n: int, fill: str) -> list[str]:
     return [x.strip() for x in found[:n]] + [fill] * (n - len(found))
 
 
-def shapes(rows: DataFrame, on_duplicate: str = "error") -> dict[str, Shape]:
-    """Shape of each group, from the first descriptor record of each kind; on_duplicate: error or recover."""
-    first = rows.where(F.col("tag").isin("HEADING", "UNIT", "TYPE")).groupBy("group", "tag").agg(F.min_by("values", F.struct("file", "rec")).alias("values"), F.min(F.struct("file", "rec")).alias("at"))
-    found: dict[str, dict[str, list[str]]] = {}
-    for r in sorted(first.collect(), key=lambda r: r["at"]):
-        if r["group"] is not None:
-            found.setdefault(r["group"], {})[r["tag"]] = list(r["values"])
+def sections(rows: DataFrame) -> DataFrame:
+    """(file, group, section, shape): the descriptor records of every section, or of the group's last one before in its file.
+
+    ``shape`` is (headings, units, types); a heading that repeats is named name__2, name__3, ...
+    """
+    told = rows.where(F.col("tag").isin("HEADING", "UNIT", "TYPE", "DATA") & F.col("group").isNotNull())
+    first = lambda tag: F.expr(f"min_by(values, rec) filter (where tag = '{tag}')")
+    found = told.groupBy("file", "group", "section").agg(*(first(t).alias(t) for t in ("HEADING", "UNIT", "TYPE")))
+    names = F.transform("HEADING", F.trim)
+    turn = lambda x, i: F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda y: y == x))
+    named = F.transform(names, lambda x, i: F.when(turn(x, i) > 1, F.concat(x, F.lit("__"), turn(x, i).cast("string"))).otherwise(x))
+    shape = F.when(F.col("HEADING").isNotNull(), F.struct(named.alias("headings"), F.coalesce("UNIT", F.array()).alias("units"), F.coalesce("TYPE", F.array()).alias("types")))
+    so_far = Window.partitionBy("file", "group").orderBy("section")
+    return found.withColumn("shape", F.last(shape, ignorenulls=True).over(so_far)).select("file", "group", "section", "shape")
+
+
+def _one_type(types: list[str], on_clash: str, of: str) -> str:
+    """One type for cells of several sections: equal ones stay, numbers meet in the one with most decimals, others in text."""
+    if len(types) == 1:
+        return types[0]
+    if on_clash == "error":
+        raise lexer.DeliveryError("TypeClash", f"{of}: {' / '.join(types)}")
+    places = [values.decimal_places(t) for t in types]
+    return f"{max(places)}DP" if None not in places else "X"
+
+
+def shapes(found: list, on_duplicate: str = "error", on_clash: str = "widen") -> dict[str, Shape]:
+    """Shape of each group from rows (group, shape, ..) of its sections in order of sight: headings of all of them, each with its unit and type.
+
+    on_duplicate: error or recover; on_clash of types: widen or error. Different units never mix.
+    """
+    seen: dict[str, dict[str, tuple[list[str], list[str]]]] = {}
+    for r in found:
+        group, shape = r["group"], r["shape"]
+        heads = seen.setdefault(group, {})
+        if shape is None:
+            continue
+        n = len(shape["headings"])
+        units, types = _padded(shape["units"], n, ""), [t or "X" for t in _padded(shape["types"], n, "X")]
+        for h, u, t in zip(shape["headings"], units, types):
+            if on_duplicate == "error" and re.search(r"__[0-9]+$", h) and h.rsplit("__", 1)[0] in shape["headings"]:
+                raise lexer.DeliveryError("Structure", f"{group} has heading {h.rsplit('__', 1)[0]} twice")
+            of = heads.setdefault(h, ([], []))
+            if u and u not in of[0]:
+                of[0].append(u)
+            if t.upper() not in [x.upper() for x in of[1]]:
+                of[1].append(t)
     out = {}
-    for group, tags in found.items():
-        headings = [h.strip() for h in tags.get("HEADING", [])]
-        seen: dict[str, int] = {}
-        for i, h in enumerate(headings):
-            seen[h] = seen.get(h, 0) + 1
-            if seen[h] > 1:
-                if on_duplicate == "error":
-                    raise lexer.DeliveryError("Structure", f"{group} has heading {h} twice")
-                headings[i] = f"{h}__{seen[h]}"
-        n = len(headings)
-        out[group] = Shape(headings, _padded(tags.get("UNIT", []), n, ""), [t or "X" for t in _padded(tags.get("TYPE", []), n, "X")])
+    for group, heads in seen.items():
+        for h, (units, _) in heads.items():
+            if len(units) > 1:
+                raise lexer.DeliveryError("UnitClash", f"{group}.{h}: {' / '.join(units)}")
+        out[group] = Shape(list(heads), [u[0] if u else "" for u, _ in heads.values()], [_one_type(t, on_clash, f"{group}.{h}") for h, (_, t) in heads.items()])
     return out
 
 
@@ -97,12 +148,44 @@ class Delivery:
     Known groups carry ``_id`` and ``_parent_id``; ``_content_hash`` is there if asked for.
     """
 
-    def __init__(self, rows: DataFrame, dictionary: Dictionary | None = None, on_duplicate: str = "error", on_excess: str = "error", content_hash: bool = False, xn_numeric: bool = False):
+    def __init__(
+        self, rows: DataFrame, dictionary: Dictionary | None = None, on_duplicate: str = "error", on_excess: str = "error",
+        content_hash: bool = False, xn_numeric: bool = False, on_clash: str = "widen", own_dict: bool = True,
+    ):
         self.rows = rows.cache()
         self.spark = rows.sparkSession
-        self.shapes = shapes(self.rows, on_duplicate)
+        for bad in self.rows.where("tag = 'ERROR'").select("file", "values").limit(1).collect():
+            self.rows.unpersist()
+            raise lexer.DeliveryError(bad["values"][0], f"{bad['file']}: {bad['values'][1]}")
+        self.sections = sections(self.rows)
+        found = self.sections.groupBy("group", "shape").agg(F.min(F.struct("file", "section")).alias("at")).collect()
+        found.sort(key=lambda r: r["at"])
+        self.shapes = shapes(found, on_duplicate, on_clash)
+        self.orders: dict[str, set[tuple[str, ...]]] = {}
+        for r in found:
+            self.orders.setdefault(r["group"], set()).add(tuple(r["shape"]["headings"]) if r["shape"] else ())
         self.dictionary = dictionary or Dictionary.empty()
         self.on_excess, self.content_hash, self.xn_numeric = on_excess, content_hash, xn_numeric
+        if own_dict and "DICT" in self.shapes:
+            self.dictionary = self.dictionary.layered(self._own_dictionary())
+
+    def _own_dictionary(self) -> Dictionary:
+        """Groups and headings that the files' own DICT groups declare, the first declaration of each."""
+        rows = self.raw("DICT")
+        names = [h for h in self.shapes["DICT"].headings if h.startswith("DICT_")]
+        if not {"DICT_GRP", "DICT_HDNG"} <= set(names):
+            return Dictionary.empty()
+        kind = F.col("DICT_TYPE") if "DICT_TYPE" in names else F.lit("")
+        once = rows.groupBy(*(F.trim(F.coalesce(c, F.lit(""))).alias(k) for c, k in ((kind, "k"), (F.col("DICT_GRP"), "g"), (F.col("DICT_HDNG"), "h"))))
+        first = once.agg(F.min_by(F.struct(*names), F.struct("file", "data_row")).alias("row"), F.min(F.struct("file", "data_row")).alias("at"))
+        out = Dictionary.empty()
+        for r in sorted(first.collect(), key=lambda r: r["at"]):
+            out._add("DICT", {c: (r["row"][c] or "").strip() for c in names})
+        return out
+
+    def close(self) -> None:
+        """Free the cached records."""
+        self.rows.unpersist()
 
     @property
     def groups(self) -> list[str]:
@@ -112,11 +195,16 @@ class Delivery:
         """The group's DATA rows: file, line, data_row and raw cells by heading, null past a short row's end."""
         shape = self._shape(group)
         data = self.rows.where((F.col("group") == group) & (F.col("tag") == "DATA"))
+        alike = len(self.orders[group]) == 1
+        if not alike:
+            own = self.sections.where(F.col("group") == group).select("file", "section", F.coalesce("shape.headings", F.array().cast("array<string>")).alias("heads"))
+            data = data.join(own, ["file", "section"])
         if self.on_excess == "error":
-            fits = F.when(F.size("values") <= len(shape.headings), F.col("values")).otherwise(F.raise_error(F.concat(F.lit(f"Structure: {group} line "), F.col("line").cast("string"), F.lit(" has too many fields"))))
-            data = data.withColumn("values", fits)
-        cells = [F.get("values", F.lit(i)).alias(h) for i, h in enumerate(shape.headings)]
-        return data.select("file", "line", "data_row", *cells)
+            most = F.lit(len(shape.headings)) if alike else F.size("heads")
+            wrong = F.raise_error(F.concat(F.lit(f"Structure: {group} line "), F.col("line").cast("string"), F.lit(" has too many fields")))
+            data = data.withColumn("values", F.when(F.size("values") <= most, F.col("values")).otherwise(wrong))
+        at = lambda i, h: F.lit(i) if alike else F.array_position("heads", F.lit(h)).cast("int") - 1
+        return data.select("file", "line", "data_row", *(F.get("values", at(i, h)).alias(h) for i, h in enumerate(shape.headings)))
 
     def _shape(self, group: str) -> Shape:
         if group not in self.shapes:
@@ -193,9 +281,9 @@ class Delivery:
 
 
 def read(spark: SparkSession, path: str | Sequence[str], **options) -> Delivery:
-    """Strict read; options of ``scan`` and ``Delivery``."""
+    """Strict read; options of ``scan`` and ``Delivery``. A file that can't be read is a ``DeliveryError``."""
     of_scan = {k: options.pop(k) for k in ("encoding", "errors", "glob") if k in options}
-    return Delivery(scan(spark, path, **of_scan), **options)
+    return Delivery(scan(spark, path, check=True, **of_scan), **options)
 
 
 def read_text(spark: SparkSession, text: str, **options) -> Delivery:

@@ -82,6 +82,61 @@ def test_read(spark):
     assert [r["HEADING"] for r in d.strings("LOCA").orderBy("_at").collect()] == ["UNIT", "TYPE", "DATA", "DATA"]
 
 
+def test_files_of_different_shape(spark, tmp_path):
+    """Cells are found by heading in every file, and in every section of a file."""
+    files = {
+        "a": group("LOCA", ["LOCA_ID", "LOCA_GL"], ["", "m"], ["ID", "2DP"], ["BH1", "1.00"]),
+        "b": group("LOCA", ["LOCA_GL", "LOCA_ID", "LOCA_REM"], ["", "", ""], ["3DP", "ID", "X"], ["2.000", "BH2", "r"]) + group("LOCA", ["LOCA_ID"], [""], ["ID"], ["BH3"]) + '"GROUP","LOCA"\r\n"DATA","BH4"\r\n',
+        "c": group("LOCA", ["LOCA_REM", "LOCA_ID"], ["", ""], ["X", "ID"], ["only", "BH5"]),
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.ags").write_bytes(text.encode())
+    d = delivery.read(spark, str(tmp_path), dictionary=D)
+    assert d.shapes["LOCA"] == delivery.Shape(["LOCA_ID", "LOCA_GL", "LOCA_REM"], ["", "m", ""], ["ID", "3DP", "X"])
+    got = sorted(tuple(r) for r in d["LOCA"].collect())
+    assert got == [("BH1", 1.0, None), ("BH2", 2.0, "r"), ("BH3", None, None), ("BH4", None, None), ("BH5", None, "only")]
+    d.close()
+    (tmp_path / "d.ags").write_bytes(group("LOCA", ["LOCA_ID", "LOCA_GL"], ["", "ft"], ["ID", "2DP"], ["BH6", "1.00"]).encode())
+    with pytest.raises(lexer.DeliveryError) as e:
+        delivery.read(spark, str(tmp_path))
+    assert e.value.kind == "UnitClash"
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "x.ags").write_bytes(b"hello")
+    for raw, kind in ((b"hello", "NotGrouped"), (b'"**PROJ"', "UnsupportedEdition"), (b'"GROUP","A\xff"', "NotUtf8")):
+        (tmp_path / "x.ags").write_bytes(raw)
+        with pytest.raises(lexer.DeliveryError) as e:
+            delivery.read(spark, str(tmp_path))
+        assert e.value.kind == kind
+
+
+def test_own_dictionary_gives_ids(spark):
+    own = group("DICT", ["DICT_TYPE", "DICT_GRP", "DICT_HDNG", "DICT_STAT", "DICT_PGRP"], [""] * 5, ["X"] * 5, ["GROUP", "XTRA", "", "", "LOCA"], ["HEADING", "XTRA", "LOCA_ID", "KEY", ""], ["HEADING", "XTRA", "XTRA_NO", "KEY", ""], ["HEADING", "LOCA", "LOCA_NEW", "KEY", ""])
+    xtra = group("XTRA", ["LOCA_ID", "XTRA_NO"], ["", ""], ["ID", "ID"], ["BH1", "1"])
+    d = delivery.read_text(spark, CLEAN + own + xtra, dictionary=D)
+    assert d.dictionary.key_chain("XTRA") == ["LOCA_ID", "XTRA_NO"] and d.dictionary.key_chain("LOCA") == D.key_chain("LOCA")
+    joined = d.table("XTRA", keys_too=True).select("_id", "_parent_id").join(d.table("LOCA", keys_too=True).select(F.col("_id").alias("up"), "LOCA_ID"), F.col("_parent_id") == F.col("up"))
+    assert [r["LOCA_ID"] for r in joined.collect()] == ["BH1"] and joined.where("_id is null").count() == 0
+    assert delivery.read_text(spark, CLEAN + own + xtra, dictionary=D, own_dict=False).table("XTRA", keys_too=True).columns == ["LOCA_ID", "XTRA_NO"]
+
+
+def test_codes_near_others():
+    known = ["CLAY", "clay", "C-LAY", "SAND", "SILT", "GRAVEL", "U", "D"]
+    assert values.close_matches("CLAY", known) == ["clay", "C-LAY"]
+    assert values.close_matches("SANT", known) == ["SAND"] and values.close_matches("GRVELL", known) == [] and values.close_matches("GRAVELLL", known) == ["GRAVEL"] and values.close_matches("X", known) == []
+
+
+def test_types_of_cells(spark):
+    cells = ["5.", "5", "-5", ".", "1:02:03", "1234:02:03.", "1:2:3", "10:30", "1:30"]
+    df = spark.createDataFrame([(c,) for c in cells], "v string")
+    dms = [r[0] for r in df.where(values.is_dms(F.col("v"))).collect()]
+    assert [r[0] for r in df.where(values.is_ndp(F.col("v"), 0)).collect()] == ["5.", "5", "-5"] and dms == ["1:02:03", "1234:02:03."]
+    assert [r[0] for r in df.where(values.is_elapsed(F.col("v"), F.lit("hh:mm"))).collect()] == ["10:30"]
+    assert [values.format_nsf(0.002, 3), values.format_nsf(1234, 3), values.format_nsf(1255, 3), values.format_nsf(-0.09996, 3)] == ["0.00200", "1230", "1260", "-0.100"]
+    assert [values.format_nsci(-0.000031, 1), values.format_nsci(9.996, 2), values.format_nsci(0, 1)] == ["-3.1e-5", "1.00e1", "0.0e0"]
+
+
 def test_structure_errors(spark):
     twice = group("LOCA", ["LOCA_ID", "LOCA_ID"], ["", ""], ["ID", "ID"], ["a", "b"])
     with pytest.raises(lexer.DeliveryError):
@@ -138,6 +193,8 @@ def test_fix_converges(spark):
     assert text == CLEAN
     assert set(done) == {"bom", "line_ends", "numbers", "short_rows"}
     assert fix.fixed_text(text)[1] == {}
+    assert fix.to_date("18.08.20") == ("2020-08-18", False) and fix.to_date("2020.08.18") is None
+    assert fix.to_date("18/08/2020 09:30", "yyyy-mm-ddThh:mm") == ("2020-08-18T09:30", False) and fix.to_date("18/08/2020 09:30") is None and fix.to_date("18/08/2020", "yyyy-mm-ddThh:mm") is None
     assert fix.to_date("31/01/2020") == ("2020-01-31", False) and fix.to_date("02/01/2020")[1]
     assert fix.ascii_fold("25 °C – é") == "25 degC - e"
 
@@ -186,17 +243,16 @@ def test_merge_keeps_every_transmission(spark):
 
 
 def test_censor(spark):
-    df = spark.createDataFrame([(1, "Zed", "a (b) c"), (2, "Amy", "x"), (3, "Zed", "")], "n int, who string, note string")
+    df = spark.createDataFrame([(1, "Zed", "stiff (brown) clay [LONDON CLAY]"), (2, "Amy", "x [ ] [y"), (3, "Zed", "")], "n int, who string, note string")
     got = censor.censor(df, {"who": "pseudonym", "note": "brackets"}, "n").orderBy("n").collect()
-    assert [tuple(r) for r in got] == [(1, "ID0001", "a  c"), (2, "ID0002", "x"), (3, "ID0001", "")]
+    assert [tuple(r) for r in got] == [(1, "ID0001", "stiff (brown) clay [REDACTED]"), (2, "ID0002", "x [ ] [y"), (3, "ID0001", "")]
+    word = df.select(censor.redact_keywords(F.col("note"), ["CLAY"], "$1\\").alias("v")).first()[0]
+    assert word == "stiff (brown) $1\\ [LONDON $1\\]"
 
 
 def test_transfer():
     raw = CLEAN.encode()
     assert transfer.unpack(transfer.pack(raw)) == raw
-    assert transfer.unlock(transfer.lock(raw, "word"), "word") == raw
-    with pytest.raises(lexer.DeliveryError):
-        transfer.unlock(transfer.lock(raw, "word"), "other")
     cert = json.loads(json.dumps(transfer.certificate(raw, {"error": 0}, "4.1.1")))
     assert transfer.revalidate_reasons(cert, raw, "4.1.1") == []
     assert "content" in transfer.revalidate_reasons(cert, raw + b"x", "4.1.1")
