@@ -53,6 +53,11 @@ def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8"
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    return scan_contents(reader.load(path if isinstance(path, str) else list(path)).select("path", "content"), encoding, errors, check)
+
+
+def scan_contents(files: DataFrame, encoding: str = "utf-8", errors: str = "strict", check: bool = False) -> DataFrame:
+    """``scan`` of files given as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -66,7 +71,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8"
                         raise
                     yield _refused(file, e)
 
-    return reader.load(path if isinstance(path, str) else list(path)).select("path", "content").mapInPandas(run, ROWS)
+    return files.select("path", "content").mapInPandas(run, ROWS)
 
 
 def scan_text(spark: SparkSession, text: str, file: str = "inline") -> DataFrame:
@@ -221,12 +226,12 @@ class Delivery:
         parent_id = keys.content_id(parent, [(k, cell.get(k)) for k in above]) if above is not None else F.lit(None).cast("string")
         return [*out, parent_id.alias("_parent_id")]
 
-    def table(self, group: str, keys_too: bool = False) -> DataFrame:
-        """The typed group; ids are left out unless asked for."""
+    def table(self, group: str, keys_too: bool = False, source: bool = False) -> DataFrame:
+        """The typed group; ids, and the ``file`` of each row, are left out unless asked for."""
         shape, raw = self._shape(group), self.raw(group)
         cell = {h: F.col(f"`{h}`") for h in shape.headings}
         typed = [values.parse(cell[h], t, u, self.xn_numeric).alias(h, metadata={"unit": u, "type": t}) for h, u, t in zip(shape.headings, shape.units, shape.types)]
-        out = self._ids(group, cell) if keys_too else []
+        out = (["file"] if source else []) + (self._ids(group, cell) if keys_too else [])
         if self.content_hash:
             out.append(keys.content_hash(group, [(h, u, values.canonical_text(cell[h], t)) for h, u, t in zip(shape.headings, shape.units, shape.types)]).alias("_content_hash"))
         return raw.select(*out, *typed)
