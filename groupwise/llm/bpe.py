@@ -19,6 +19,7 @@ skips ids outside the vocabulary. Repeated rows, ties and other columns are of n
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -341,6 +342,16 @@ class Codec:
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # after a space, and as they are
 
     def _learn(self, spaced: Iterable[str], plain: Iterable[str]) -> None:
+        """``_take_in`` without searches for reference cycles: it makes hundreds of thousands of containers, none in a cycle."""
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            self._take_in(spaced, plain)
+        finally:
+            if searching:
+                gc.enable()
+
+    def _take_in(self, spaced: Iterable[str], plain: Iterable[str]) -> None:
         """Take in the ids of chunks after a space, and as they are; letters with one mark behind need no pattern.
 
         A word is a chunk of its own, so the words that chunks are cut into are remembered as such.
