@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -421,6 +421,21 @@ def validate(records: DataFrame, dictionary: Dictionary, edition: str = "", file
     return out.where(F.col("severity").isin(*severities))
 
 
+#: Headings that 4.0.4 has and 4.0.3 has not.
+NEW_IN_4_0_4 = (
+    ("GCHM", "GCHM_DLM"), ("GCHM", "GCHM_RTXT"), ("LOCA", "LOCA_NATD"), ("LOCA", "LOCA_ORCO"), ("LOCA", "LOCA_ORID"), ("LOCA", "LOCA_ORJO"),
+    ("RDEN", "RDEN_IDEN"), ("SAMP", "SAMP_RECL"),
+)
+
+
+def guarded_edition(edition: str, headings: Mapping[str, Sequence[str]], forced: bool = False) -> tuple[str, str | None]:
+    """(edition, the heading that shows it): a file of 4.0.3 by its own word that uses a later heading is of 4.0.4, unless forced."""
+    if edition != "4.0.3" or forced:
+        return edition, None
+    shown = next((h for g, h in NEW_IN_4_0_4 if h in headings.get(g, ())), None)
+    return ("4.0.4", shown) if shown else (edition, None)
+
+
 def resolve_edition(declared: str | None, known: tuple[str, ...] = EDITIONS, forced: str | None = None) -> str:
     """Forced, else exact, else the newest patch of the same minor, else 4.1.1; a bare 4 is 4.0.4; 3.x is refused."""
     wanted = (forced or declared or "").strip()

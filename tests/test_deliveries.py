@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groupwise.functions import keys, values
-from groupwise.operators import censor, emit, fix, merge_files, relational, rules, transfer
+from groupwise.operators import censor, emit, fix, merge_files, relational, rules, transfer, views
 from groupwise.plans import composer
 from groupwise.sources import delivery, lexer
 from groupwise.sources.dictionary import Dictionary
@@ -121,6 +121,75 @@ def test_own_dictionary_gives_ids(spark):
     assert delivery.read_text(spark, CLEAN + own + xtra, dictionary=D, own_dict=False).table("XTRA", keys_too=True).columns == ["LOCA_ID", "XTRA_NO"]
 
 
+def test_selections_add_up(spark):
+    d = delivery.read_text(spark, CLEAN, dictionary=D)
+    one = views.Selection(d).at("LOCA", ["BH1", "BH2"]).at("LOCA", ["BH2"])
+    assert [r["LOCA_ID"] for r in one["LOCA"].collect()] == ["BH2"] and [r["LOCA_ID"] for r in one["SAMP"].collect()] == ["BH2"] and one["PROJ"].count() == 1
+    ids = [r["_id"] for r in d.table("LOCA", keys_too=True).where("LOCA_ID = 'BH1'").collect()]
+    by_id = views.Selection(d).at("LOCA", ids, by="_id")
+    assert [t.count() for t in (by_id["LOCA"], by_id["SAMP"], by_id["UNIT"])] == [1, 1, 1]
+    assert views.Selection(d).at("LOCA", [])["SAMP"].count() == 0
+    with pytest.warns(UserWarning):
+        assert views.Selection(d).at("LOCA", [None, "BH1"])["LOCA"].count() == 1
+    with pytest.raises(ValueError):
+        views.Selection(d).at("GEOL", ["x"])
+
+
+def test_rows_attached_to_parents(spark):
+    lost = group("SAMP", ["LOCA_ID", "SAMP_TOP"], ["", "m"], ["ID", "2DP"], ["BH9", "1.00"], ["BH1", "1.00"], ["BH1", "1.00"])
+    odd = group("ODDS", ["LOCA_ID", "ODDS_X"], ["", ""], ["ID", "X"], ["BH1", "a"], ["BH9", "b"])
+    d = delivery.read_text(spark, "\r\n".join([PROJ, LOCA, lost, odd]), dictionary=D)
+    graph = views.attached(d)
+    assert [(r["LOCA_ID"], r["SAMP_TOP"]) for r in graph["SAMP"].collect()] == [("BH1", 1.0)]
+    assert [r["ODDS_X"] for r in graph["ODDS"].collect()] == ["a"]
+    root = graph["PROJ"].first()["_id"]
+    tree = views.record(graph, d, "PROJ", root)
+    first = next(x for x in tree["LOCA"] if x["LOCA_ID"] == "BH1")
+    assert len(tree["LOCA"]) == 2 and first["SAMP"] == [{"LOCA_ID": "BH1", "SAMP_TOP": 1.0}] and first["ODDS"] == [{"LOCA_ID": "BH1", "ODDS_X": "a"}]
+
+
+def test_edits_and_text_tables(spark):
+    d = delivery.read_text(spark, CLEAN, dictionary=D)
+    found = {b.group: b for b in views.blocks(d)}
+    loca = views.push_row(views.set_cell(found["LOCA"], "LOCA_GL", "9.99", F.col("LOCA_ID") == "BH1"), {"LOCA_ID": "BH3"})
+    loca = views.push_row(loca, {"LOCA_ID": "BH4", "LOCA_GL": "1.00"})
+    text = emit.to_text([found["PROJ"], loca])
+    assert text == PROJ + "\r\n" + group("LOCA", ["LOCA_ID", "LOCA_TYPE", "LOCA_GL"], ["", "", "m"], ["ID", "PA", "2DP"], ["BH1", "CP+RC", "9.99"], ["BH2", "CP", "20.50"], ["BH3", "", ""], ["BH4", "", "1.00"])
+    assert [b.group for b in views.remove_group(views.blocks(d), "ABBR")] == [g for g in d.groups if g != "ABBR"]
+    with pytest.raises(KeyError):
+        views.push_row(loca, {"NOPE": "x"})
+    table = views.text_tables(d)["LOCA"]
+    numbers = views.numeric(table)
+    assert [tuple(r) for r in numbers.collect()] == [("BH1", "CP+RC", 10.0), ("BH2", "CP", 20.5)]
+    assert [r["LOCA_GL"] for r in views.texts(numbers, {"LOCA_GL": "2DP"}).collect()] == ["10.00", "20.50"]
+    assert views.declared_edition(d) == "4.1.1"
+    back = views.block_of_arrow(spark, "LOCA", views.arrow(d, "LOCA"), D)
+    assert emit.to_text([back]) == LOCA
+    rows = spark.createDataFrame([(2, ["DATA", 'a"b', None]), (1, ["GROUP", "X"])], "n int, cells array<string>")
+    assert [r[0] for r in views.matrix_lines(rows, "cells", ["n"]).collect()] == ['"GROUP","X"\r\n', '"DATA","a""b",""\r\n']
+
+
+def test_orders_depths_editions_and_series(spark):
+    found = ["SAMP", "ABBR", "ZZZZ", "LOCA", "TRAN", "PROJ"]
+    with pytest.warns(UserWarning):
+        assert views.group_order(found, D) == ["PROJ", "ABBR", "TRAN", "LOCA", "SAMP", "ZZZZ"]
+    with pytest.warns(UserWarning):
+        assert views.group_order(found, D, "hierarchical") == ["PROJ", "TRAN", "ABBR", "LOCA", "SAMP", "ZZZZ"]
+    assert views.group_order(found, D, "alphabetical") == sorted(found)
+    assert views.probe_depth("SAMP", ["SAMP_TOP", "SPEC_DPTH"], D) == ("SPEC_DPTH", "specimen") and views.probe_depth("LOCA", ["LOCA_ID"], D) is None
+    assert rules.guarded_edition("4.0.3", {"LOCA": ["LOCA_ID", "LOCA_NATD"]}) == ("4.0.4", "LOCA_NATD")
+    assert rules.guarded_edition("4.0.3", {"LOCA": ["LOCA_NATD"]}, forced=True) == ("4.0.3", None) and rules.guarded_edition("4.1", {}) == ("4.1", None)
+    rows = spark.createDataFrame([("a", 1, 2.0), ("Other", 2, 3.0), ("c", 3, 4.0), (None, 4, 5.0)], "k string, x int, y double")
+    got = sorted(tuple(r) for r in views.chart_series(rows, "x", "y", "k", ["a", "Other", "c"], 2).collect())
+    assert got == [(-1, "Other *", 3, 4.0), (-1, "Other *", 4, 5.0), (0, "a", 1, 2.0), (1, "Other", 2, 3.0)]
+
+
+def test_changes_as_json(spark):
+    a, b = (delivery.read_text(spark, x, dictionary=D) for x in (CLEAN, CLEAN.replace("20.50", "21.50").replace(ABBR, "")))
+    out = {(r["group"], r["kind"]): r["value"] for r in views.diff_json(*merge_files.diff(a, b, D), spark).collect()}
+    assert ("ABBR", "group_removed") in out and json.loads(out["LOCA", "changed"])["cells"][0]["heading"] == "LOCA_GL"
+
+
 def test_codes_near_others():
     known = ["CLAY", "clay", "C-LAY", "SAND", "SILT", "GRAVEL", "U", "D"]
     assert values.close_matches("CLAY", known) == ["clay", "C-LAY"]
