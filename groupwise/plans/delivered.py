@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import censor, emit, fix, merge_files, rules
+from ..operators import censor, emit, fix, merge_files, rules, views
 from ..sources import delivery
 from ..sources.dictionary import Dictionary
 from .driver import query, t
@@ -166,3 +166,18 @@ def censor_cells(spark, sf_dir):
     """Cells by policy: token, brackets, blank, hash of the file."""
     rows = t(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name who", "concat('kept (', c_name, ') [', c_mktsegment, '] [ ]') note", "c_name blank", "c_name source")
     return censor.censor(rows, {"who": "token", "note": "brackets", "blank": "blank", "source": "filehash"}, "c_custkey", file_id="file")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 13 <> 0")
+def delivery_attached(spark, sf_dir):
+    """Rows that hang on a parent row; orphans are left out."""
+    d = _delivery(spark, sf_dir, parent="if(c_custkey % 13 = 0, concat(c_custkey, 'x'), string(c_custkey))", turned=True)
+    return views.attached(d)["SAMP"].select(F.col("LOCA_ID").alias("id"))
+
+
+@query("SELECT 'LOCA' AS tbl, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey IN (3, 5, 8) UNION ALL SELECT 'SAMP', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey IN (3, 5, 8)")
+def delivery_selection(spark, sf_dir):
+    """Two selections add up in every group that has the key."""
+    one = views.Selection(_delivery(spark, sf_dir, turned=True)).at("LOCA", ["3", "5", "8", "13"]).at("LOCA", ["2", "3", "5", "8"])
+    found = [one[g].select(F.lit(g).alias("tbl"), F.col("LOCA_ID").alias("id")) for g in ("LOCA", "SAMP")]
+    return found[0].unionByName(found[1])
