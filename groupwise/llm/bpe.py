@@ -389,39 +389,33 @@ class Codec:
             for known in self.known:
                 if len(known) > CACHE:
                     known.clear()
-            after, alone = self.known
             plans, spaced, plain = [], set(), set()
             for text in texts[at : at + TEXTS]:
-                plan: list[int | tuple[list[str], list[bytes | None], bool]] = []
+                plan: list[int | tuple[list[str], bool]] = []
                 for part in self._parts(text or ""):
-                    if isinstance(part, int):
+                    if isinstance(part, str):
+                        loose = _loose(part)
+                        chunks = self.v.pattern.findall(part) if loose else part.split(" ")
+                        plain.update(chunks if loose else chunks[:1])
+                        if not loose:
+                            spaced.update(chunks[1:])
+                        plan.append((chunks, loose))
+                    else:
                         plan.append(part)
-                        continue
-                    loose = _loose(part)
-                    chunks = self.v.pattern.findall(part) if loose else part.split(" ")
-                    got = list(map((alone if loose else after).get, chunks))
-                    if not loose:
-                        got[0] = alone.get(chunks[0])
-                    if None in got:
-                        if got[0] is None:
-                            plain.add(chunks[0])
-                        (plain if loose else spaced).update(c for c, g in zip(chunks[1:], got[1:]) if g is None)
-                    plan.append((chunks, got, loose))
                 plans.append(plan)
-            self._learn(spaced, plain)
+            after, alone = self.known
+            self._learn(spaced.difference(after), plain.difference(alone))
             for plan in plans:
                 out = []
                 for part in plan:
                     if isinstance(part, int):
                         out.append(part.to_bytes(4, "little"))
-                        continue
-                    chunks, got, loose = part
-                    if None in got:
-                        if got[0] is None:
-                            got[0] = alone[chunks[0]]
-                        here = alone if loose else after
-                        got = [here[c] if g is None else g for c, g in zip(chunks, got)]
-                    out += got
+                    elif part[1]:
+                        out.extend(map(alone.__getitem__, part[0]))
+                    else:
+                        chunks = iter(part[0])
+                        out.append(alone[next(chunks)])
+                        out.extend(map(after.__getitem__, chunks))
                 yield np.frombuffer(b"".join(out), "<u4")
 
     def _parts(self, text: str) -> Iterator[str | int]:
