@@ -330,15 +330,23 @@ class Vocabulary:
         return out
 
 
+def laid(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words end to end, and where each word's ids end."""
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    return np.fromiter(chain.from_iterable(found), np.uint32), ends
+
+
 class Codec:
     """Encodes and decodes texts, remembering words.
 
-    ``solve`` gives the ids of distinct words; by default by speculation.
+    ``solve`` is given what stands before each word (a space or nothing) and distinct words;
+    it returns the words in an order of its own, their ids end to end, and where the ids of
+    each end. By default this is done by speculation.
     """
 
     def __init__(self, vocabulary: Vocabulary, solve=None):
         self.v = vocabulary
-        self.solve = solve or vocabulary.words
+        self.solve = solve or (lambda head, words: (words, *laid(vocabulary.words([head + w for w in words]))))
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # after a space, and as they are
 
     def _learn(self, spaced: Iterable[str], plain: Iterable[str]) -> None:
@@ -357,31 +365,31 @@ class Codec:
         A word is a chunk of its own, so the words that chunks are cut into are remembered as such.
         """
         after, alone = self.known
-        whole: list[str] = []
+        new: tuple[set[str], set[str]] = (set(), set())
+        marked: list[tuple[dict[str, bytes], str]] = []
         cuts: list[tuple[dict[str, bytes], str, Sequence[str]]] = []
-        for chunks, head, known in ((spaced, " ", after), (plain, "", alone)):
+        for chunks, head, known, own in ((spaced, " ", after, new[0]), (plain, "", alone, new[1])):
             for c in chunks:
                 if c.isalpha():
-                    whole.append(head + c)
+                    own.add(c)
                 elif c[-1:] in MARKS and c[:-1].isalpha():
-                    cuts.append((known, c, (head + c[:-1], c[-1])))
+                    own.add(c[:-1])
+                    marked.append((known, c))
                 else:
-                    cuts.append((known, c, self.v.pattern.findall(head + c)))
-        parts = {w for *_, ws in cuts for w in ws}
-        parts.difference_update(whole)
-        new = whole + [w for w in parts if (w[1:] not in after if w[0] == " " else w not in alone)]
-        found = self.solve(new) if new else []
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
-        blob = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        at = 0
-        for w, end in zip(new, ends.tolist()):
-            if w[0] == " ":
-                after[w[1:]] = blob[at:end]
-            else:
-                alone[w] = blob[at:end]
-            at = end
-        for known, c, ws in cuts:
-            known[c] = b"".join([after[w[1:]] if w[0] == " " else alone[w] for w in ws])
+                    words = self.v.pattern.findall(head + c)
+                    cuts.append((known, c, words))
+                    new[0].update([w[1:] for w in words if w[0] == " "])
+                    new[1].update([w for w in words if w[0] != " "])
+        new[1].update(MARKS)
+        for known, head, some in ((after, " ", new[0]), (alone, "", new[1])):
+            if some := some.difference(known):
+                words, flat, ends = self.solve(head, list(some))
+                blob, ends = flat.astype("<u4").tobytes(), (ends * 4).tolist()
+                known.update(zip(words, [blob[i:j] for i, j in zip([0, *ends], ends)]))
+        for known, c in marked:
+            known[c] = known[c[:-1]] + alone[c[-1]]
+        for known, c, words in cuts:
+            known[c] = b"".join([after[w[1:]] if w[0] == " " else alone[w] for w in words])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids (little-endian uint32) of each text."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TEXTS, Codec, Vocabulary
+from .bpe import TEXTS, Codec, Vocabulary, laid
 
 BLOCK = 4096
 PERCENTILE = 95
+#: Words encoded in one call; bounds the text and the ids held at a time.
+RUN = 10_000
 MAGIC = b"PFR1"
 SEGMENT = "part int, base long, n_ids long, doc_ids array<bigint>, sizes array<bigint>, ids binary"
 
@@ -92,6 +94,40 @@ def unpack_ids(blob: bytes) -> np.ndarray:
     return np.concatenate([block_ids(blob, k) for k in range(blocks)]) if blocks else np.empty(0, np.uint32)
 
 
+def solver(encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]) -> Callable:
+    """``solve`` of a Codec, by the library's ``encode`` of many texts.
+
+    A call has a cost of its own, so words of letters and digits alone are encoded RUN at a
+    time: those after a space as one text, since the pattern always cuts before a space that
+    stands between two of them, and those without with a line feed between, which is a piece
+    and a token of its own there. Other words are encoded one by one.
+    """
+    opens = np.fromiter((t[:1] == b" " for t in token_bytes), bool, len(token_bytes))
+    feed = token_bytes.index(b"\n")
+
+    def together(head: str, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.array(encode([head + (head or "\n").join(run)])[0], np.uint32)
+        if head:
+            starts = np.flatnonzero(opens[flat])
+        else:
+            feeds = np.flatnonzero(flat == feed)
+            flat = np.delete(flat, feeds)
+            starts = np.concatenate([[0], feeds - np.arange(len(feeds))])
+        if len(starts) != len(run):
+            raise ValueError("a token lies across two words")
+        return flat, np.concatenate([starts[1:], [len(flat)]])
+
+    def solve(head: str, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        whole = [w for w in words if w.isalnum()]
+        odd = [w for w in words if not w.isalnum()]
+        found = [together(head, whole[i : i + RUN]) for i in range(0, len(whole), RUN)]
+        found.append(laid(encode([head + w for w in odd])))
+        before = np.cumsum([0, *(len(flat) for flat, _ in found)])
+        return whole + odd, np.concatenate([flat for flat, _ in found]), np.concatenate([ends + at for (_, ends), at in zip(found, before)])
+
+    return solve
+
+
 @lru_cache(2)
 def library_codec(path: str) -> Codec:
     """The worker's codec whose words are encoded by the tokenizers library."""
@@ -101,7 +137,12 @@ def library_codec(path: str) -> Codec:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return Codec(Vocabulary(path, merging=False), lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    v = Vocabulary(path, merging=False)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return Codec(v, solver(encode, v.token_bytes))
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = 0) -> None:

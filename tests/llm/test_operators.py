@@ -329,3 +329,19 @@ def test_language(spark, none):
     assert all(got[i]["lang_pred"] == k for i, _, k in made)
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
     assert language.predict(df, language.fit(none)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_words_encoded_in_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE_PATH)
+    monkeypatch.setattr(tokenfile, "RUN", 3)
+    words = ["a", "Zürich", "x", "naïve", "2024", "½", "don", "'s", "日本語", "й", "--", "\t", "ab" * 40, "٣٤", "ǅ", "\n\n", "é"]
+    codec = tokenfile.library_codec(BPE_PATH)
+    for head in ("", " "):
+        order, flat, ends = codec.solve(head, words)
+        assert sorted(order) == sorted(words)
+        got = [ids.tolist() for ids in np.split(flat, ends[:-1])]
+        assert got == [library.encode(head + w, add_special_tokens=False).ids for w in order]
+    with pytest.raises(ValueError):
+        tokenfile.solver(lambda texts: [[codec.v.token_bytes.index(b"a")] for _ in texts], codec.v.token_bytes)(" ", ["a", "b"])
