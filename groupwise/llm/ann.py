@@ -20,8 +20,9 @@ A query with fewer than k rows within the radius over all blocks searches again
 widest radius, which every code is within, so that all candidates are reranked for it.
 
 Defined results: vectors null, zero, of another length than most, or holding null or
-non-finite components take no part; ties go to the smaller id; one id in several rows is
-one candidate for each row; fewer than k candidates give fewer rows; an empty table, none.
+non-finite components take no part, components of any finite size do; ties go to the smaller
+id; one id in several rows is one candidate for each row; fewer than k candidates give fewer
+rows; an empty table, none.
 """
 
 from __future__ import annotations
@@ -124,7 +125,12 @@ class Index:
 
 
 def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, each scaled by a power of two so that no square over- or underflows, and their lengths.
+
+    Such a factor changes no digit, and a cosine of scaled vectors is that of the originals.
+    """
     x = np.vstack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, 1))
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     size = np.sqrt((x * x).sum(1))
     return x, size
 

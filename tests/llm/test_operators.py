@@ -345,3 +345,12 @@ def test_words_encoded_in_runs(monkeypatch):
         assert got == [library.encode(head + w, add_special_tokens=False).ids for w in order]
     with pytest.raises(ValueError):
         tokenfile.solver(lambda texts: [[codec.v.token_bytes.index(b"a")] for _ in texts], codec.v.token_bytes)(" ", ["a", "b"])
+
+
+def test_nearest_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(40, 6))
+    scale = np.ldexp(1.0, rng.permutation([-900, -600, 0, 600, 900] * 8))
+    rows = lambda m: spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    found = [ann.nearest(rows(m), F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect() for m in (plain, plain * scale[:, None])]
+    assert found[0] == found[1] and len(found[0]) == 20
