@@ -350,6 +350,28 @@ def units_and_types(c: Check) -> list[DataFrame]:
     return [_undefined(c, units.unionByName(cells), "UNIT", "UNIT_UNIT", "15", "unit"), _undefined(c, types, "TYPE", "TYPE_TYPE", "17", "type")]
 
 
+def _hints(dictionary: Dictionary) -> Callable[..., Column]:
+    """What a code under a heading that a file doesn't declare may stand for; null where nothing is near."""
+    standard: dict[str, list[str]] = {}
+    for heading, code in dictionary.abbreviations:
+        standard.setdefault(heading, []).append(code)
+
+    def hint(heading: str, part: str, codes: Sequence[str] | None) -> str | None:
+        own = [] if codes is None else list(codes)
+        if padded := [x for x in own if x.strip() == part.strip()]:
+            return f"{heading}: {part} is not in ABBR, but '{padded[0]}' is; they differ by white space around them"
+        near = [f"{x} (in ABBR)" for x in values.close_matches(part, own)]
+        others = set(standard.get(heading, ())).difference(own)
+        near += [f"{x} (standard)" for x in values.close_matches(part, others)]
+        return f"{heading}: {part} is not in ABBR; did you mean {' or '.join(near[: values.MOST_HINTS])}?" if near else None
+
+    @F.pandas_udf(T.StringType())
+    def hints(heading: pd.Series, part: pd.Series, codes: pd.Series) -> pd.Series:
+        return pd.Series(list(map(hint, heading, part, codes)), dtype=object)
+
+    return hints
+
+
 @rule("16")
 def abbreviations(c: Check) -> list[DataFrame]:
     joiner = _tran(c, "TRAN_RCON").where("value <> ''").select("file", F.col("value").alias("rcon"))
@@ -358,7 +380,9 @@ def abbreviations(c: Check) -> list[DataFrame]:
     cut = cells.join(F.broadcast(joiner), "file", "left").withColumn("part", F.explode(F.when(F.col("rcon").isNull(), F.array("value")).otherwise(F.split("value", F.concat(F.lit("\\Q"), F.col("rcon"), F.lit("\\E"))))))
     rows = c.rows("ABBR").select("file", F.trim(c.cell("ABBR_HDNG")).alias("heading"), c.cell("ABBR_CODE").alias("part"), F.coalesce(F.trim(c.cell("ABBR_DESC")), F.lit("")).alias("desc_here"), F.col("line").alias("at"))
     has = rows.select("file", "heading", "part").distinct()
-    missing = cut.join(has, ["file", "heading", "part"], "left_anti")
+    missing = cut.where("part <> ''").join(has, ["file", "heading", "part"], "left_anti")
+    declared = has.groupBy("file", "heading").agg(F.sort_array(F.collect_list("part")).alias("codes"))
+    hints = missing.join(declared, ["file", "heading"], "left").withColumn("hint", _hints(c.dictionary)("heading", "part", "codes")).where("hint is not null")
     std = c.spark.createDataFrame([(h, k, d) for (h, k), d in c.dictionary.abbreviations.items()] or [(None, None, None)], "std_h string, std_k string, std_d string")
     known = rows.join(F.broadcast(std), (rows["heading"] == std["std_h"]) & (rows["part"] == std["std_k"]), "left")
     drift = known.where("std_d is not null and lower(std_d) <> lower(desc_here)")
@@ -367,7 +391,7 @@ def abbreviations(c: Check) -> list[DataFrame]:
     padded = rows.where("part <> trim(part)")
     abbr = F.lit("ABBR")
     return [
-        found(missing, "16", F.concat(F.col("heading"), F.lit(": "), F.col("part"), F.lit(" is not in ABBR"))), found(drift, "16", F.concat(F.col("part"), F.lit(" is described otherwise in the standard")), "fyi", "at", abbr),
+        found(missing, "16", F.concat(F.col("heading"), F.lit(": "), F.col("part"), F.lit(" is not in ABBR"))), found(hints, "16", F.col("hint"), "fyi"), found(drift, "16", F.concat(F.col("part"), F.lit(" is described otherwise in the standard")), "fyi", "at", abbr),
         found(extra, "16", F.concat(F.col("heading"), F.lit(": "), F.col("part"), F.lit(" is not a standard code")), "fyi", "at", abbr),
         found(case, "16", F.concat(F.col("part"), F.lit(" differs from another code by case")), "warning" if c.edition >= "4.2" else "fyi", "at", abbr), found(padded, "16", F.concat(F.col("part"), F.lit(" is padded")), "warning", "at", abbr),
     ]

@@ -256,6 +256,16 @@ def test_rules(spark):
     assert not missed
 
 
+def test_hints_of_near_codes(spark):
+    texts = {"near": CLEAN.replace('"BH2","CP"', '"BH2","cp"'), "far": CLEAN.replace('"BH2","CP"', '"BH2","QQQQQQ"'), "clean": CLEAN}
+    records = [r for name, text in texts.items() for r in delivery._tuples(name, text.encode(), "utf-8", "strict")]
+    assert '"BH2","CP"' in CLEAN
+    found = rules.validate(spark.createDataFrame(records, delivery.ROWS).coalesce(1).cache(), D).where("rule = '16' and desc like '%did you mean%'").collect()
+    assert [(r["file"], r["severity"]) for r in found] == [("near", "fyi")] and "did you mean CP (in ABBR)" in found[0]["desc"]
+    hint = lambda part, codes: spark.range(1).select(rules._hints(D)(F.lit("X_Y"), F.lit(part), F.lit(codes)).alias("h")).first()["h"]
+    assert "'AB '" in hint("AB", ["AB ", "CD"]) and hint("AB", ["XYZ"]) is None
+
+
 def test_fix_converges(spark):
     broken = "﻿" + CLEAN.replace("\r\n", "\n").replace('"20.50"', '"20.5"').replace('"BH2","2.00",""', '"BH2","2.00"')
     text, done = fix.fix_until_stable(broken)
