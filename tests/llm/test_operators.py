@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,42 @@ def test_words_encoded_in_runs(monkeypatch):
         tokenfile.solver(lambda texts: [[codec.v.token_bytes.index(b"a")] for _ in texts], codec.v.token_bytes)(" ", ["a", "b"])
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    for module in (bpe, tokenfile):
+        monkeypatch.setattr(module, "CACHE", 60, raising=False)
+    tokenfile.library_codec.cache_clear()
+    codec, asked = tokenfile.library_codec(BPE_PATH), []
+    solve = codec.solve
+    monkeypatch.setattr(codec, "solve", lambda head, words: asked.extend(head + w for w in words) or solve(head, words))
+    letters = "abcdefghijklmnopqrst"
+    for k in range(200):
+        list(codec.encode([f"often {letters[k // 20]}{letters[k % 20]}q{c} found, again" for c in letters]))
+        assert max(map(len, codec.known)) < 200
+    assert [asked.count(w) for w in ("often", " found", " again")] == [1, 1, 1]
+    tokenfile.library_codec.cache_clear()
+
+
+def test_texts_encoded_together(monkeypatch):
+    t = library()
+    rng = random.Random(6)
+    parts = ["a", "th", " ", " ", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u3000", "'s", "é", "!!", ",", "<|endoftext|>", "<|", "漢字" * 30, "😀", "\r\n", "aaaa", "2024", "\0"]
+    for cache, ids in ((800_000, 800_000), (40, 800_000), (800_000, 200)):
+        monkeypatch.setattr(tokenfile, "CACHE", cache)
+        monkeypatch.setattr(tokenfile, "IDS", ids)
+        tokenfile.library_codec.cache_clear()
+        codec = tokenfile.library_codec(BPE_PATH)
+        for _ in range(15):
+            texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(100))]
+            flat, sizes = codec.encode_all(pa.array(texts))
+            want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+            assert [x.tolist() for x in codec.encode(texts)] == want
+    tokenfile.library_codec.cache_clear()
+    assert list(codec.encode([])) == []
+    monkeypatch.setattr(tokenfile, "GROUP", 10)
+    assert list(tokenfile._groups(pa.array(["12345", None, "é" * 6, "x" * 10, "a", "b"]))) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+
+
 def test_nearest_of_any_size(spark):
     rng = np.random.default_rng(8)
     plain = rng.normal(size=(40, 6))
