@@ -279,6 +279,35 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("at_once", [0, 60, components.AT_ONCE])
+@pytest.mark.parametrize(("kind", "name"), [("long", lambda i: i - 40), ("string", lambda i: f"{i * 7 % 100}é"), ("struct<none: boolean, id: long, th: long>", lambda i: (i % 10 == 9, i // 10, None if i % 7 == 0 else -i))])
+def test_components_by_joins_and_in_one_task(spark, monkeypatch, at_once, kind, name):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    order = lambda x: tuple((v is not None, v) for v in x) if isinstance(x, tuple) else x
+    rng = random.Random(8)
+    links = [(rng.randrange(100), rng.randrange(100)) for _ in range(90)] + [(3, 3)]
+    links += rng.sample(links, 20)
+    near = {i: {i} for x in links for i in x}
+    for a, b in links:
+        near[a] |= near[b]
+        for i in near[a]:
+            near[i] = near[a]
+    want = {name(i): name(j) for i in near if (j := min(near[i], key=lambda i: order(name(i)))) != i}
+    got = components.components(spark.createDataFrame([(name(a), name(b)) for a, b in links], f"a {kind}, b {kind}")).collect()
+    plain = lambda x: tuple(x) if isinstance(x, tuple) else x
+    assert {plain(r[0]): plain(r[1]) for r in got} == want and len(got) == len(want)
+    assert components.components(spark.createDataFrame([], f"a {kind}, b {kind}")).isEmpty()
+
+
+def test_few_links_take_few_jobs(spark):
+    """The driver keeps plans and a thread for each exchange of every job; those of the pipeline's join outgrew its memory."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(i, 5 * i) for i in range(300, 400)], "a long, b long")
+    jobs = spark._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert components.components(links).count() == 300
+    assert jobs() - before <= 8
+
+
 def plain_spans(t):
     out = [pii.Span(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [pii.Span(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
